@@ -71,20 +71,34 @@ def read_merges(spark: SparkSession, path: str) -> DataFrame:
                        parts.getItem(0).alias("left"), parts.getItem(1).alias("right"))
 
 
-def with_row_index(df: DataFrame, order_by: list[str], name: str = "row_index") -> DataFrame:
-    """Consecutive 0-based index in ``order_by`` order without a single-partition window.
-
-    Per-partition counts after a range sort, then a prefix sum of those counts (one small row per
-    partition) broadcast back -- the data itself never leaves its partition.
+def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_index",
+                   partition_by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Consecutive 0-based index in ``order_by`` order (restarting per ``partition_by`` group)
+    without a single-partition window and without one task per group.
+
+    The order key is cut into ``buckets`` ranges at approximate quantiles (only the bucket
+    boundaries reach the driver).  Rows are numbered inside each (group, bucket) by a window --
+    each bucket is a slice of the data, so a hot group is spread over many tasks -- and the
+    per-(group, bucket) counts, one small row each, are prefix-summed and broadcast back.  The
+    bucket is a function of the row's own key, so the result is the same on any partitioning,
+    on retry and after executor loss.  ``order_by``: one numeric column, unique within a group.
     """
     from pyspark.sql import Window
-    sorted_df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
-    pid = F.spark_partition_id()
-    tagged = sorted_df.withColumn("_pid", pid)
-    local = tagged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_by)) - 1)
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    order = order_by[0] if isinstance(order_by, (list, tuple)) else order_by
+    groups = list(partition_by or [])
+    spark = df.sparkSession
+    b = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    bounds = sorted(set(df.approxQuantile(order, [i / b for i in range(1, b)], 0.001))) if b > 1 else []
+    bucket = F.lit(0)
+    for i, v in enumerate(bounds):
+        bucket = F.when(F.col(order) > F.lit(v), F.lit(i + 1)).otherwise(bucket)
+    tagged = df.withColumn("_bk", bucket)
+    local = tagged.withColumn("_local", F.row_number().over(
+        Window.partitionBy(*groups, "_bk").orderBy(order)) - 1)
+    counts = tagged.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
+        Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # offsets: one row per (group, bucket) -- bounded by groups x buckets.
+    return (local.join(F.broadcast(offsets.select(*groups, "_bk", "_off")), groups + ["_bk"])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_pid", "_local", "_off"))
+            .drop("_bk", "_local", "_off"))
