@@ -131,3 +131,9 @@ def spelled_date(col) -> Column:
     parts = F.split(_c(col), "-", -1)
     month = F.element_at(F.array(*[F.lit(m) for m in fixed.MONTHS]), parts.getItem(0).cast("int"))
     return F.concat(month, F.lit(" "), parts.getItem(1), F.lit(", "), parts.getItem(2))
+
+
+def valid_date(col) -> Column:
+    """a ``MM-dd-yyyy`` string has three parts and a numeric month."""
+    parts = F.split(_c(col), "-", -1)
+    return F.coalesce((F.size(parts) == 3) & F.regexp_like(parts.getItem(0), F.lit(r"^[0-9]+$")), F.lit(False))

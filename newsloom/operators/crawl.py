@@ -56,17 +56,21 @@ def url_filter(df: DataFrame, allow: DataFrame, url: str = "url", suffixes=None,
     """F2-F6 + J1.  ``allow(domain, subdomains)``: null subdomains = any subdomain.
 
     Returns the input plus clean_url/domain/subdomain (and ``url_reject`` when ``keep_rejects``).
+    Without rejects the cheap URL predicates run first and the allowlist test is a left-semi join
+    on the survivors (no row duplication, and a sort-merge fallback would move only survivors).
     """
     df = url_columns(df, url, suffixes)
     a = allow.select(F.col("domain").alias("_allow_domain"), F.col("subdomains").alias("_allow_subs"))
+    cond = ((F.col("domain") == F.col("_allow_domain"))
+            & (F.col("_allow_subs").isNull() | F.array_contains(F.col("_allow_subs"), F.col("subdomain"))))
+    if not keep_rejects:
+        cheap = url_reject_reason(url, max_len, banned_ext, banned_strings, allowed=None)
+        return df.where(cheap.isNull()).join(a, cond, "left_semi")
     # Left join keeps every record; the array test is the residual condition of the equi-join.
-    joined = df.join(a, (F.col("domain") == F.col("_allow_domain"))
-                     & (F.col("_allow_subs").isNull() | F.array_contains(F.col("_allow_subs"), F.col("subdomain"))),
-                     "left")
+    joined = df.join(a, cond, "left")
     allowed = F.col("_allow_domain").isNotNull()
     out = joined.withColumn("url_reject", url_reject_reason(url, max_len, banned_ext, banned_strings, allowed))
-    out = out.drop("_allow_domain", "_allow_subs")
-    return out if keep_rejects else out.filter(F.col("url_reject").isNull()).drop("url_reject")
+    return out.drop("_allow_domain", "_allow_subs")
 
 
 def extract_articles(df: DataFrame, html: str = "html") -> DataFrame:
@@ -136,16 +140,23 @@ def num_empty(df: DataFrame, cols: list[str], name: str = "num_empty") -> DataFr
 def crawl(pages: DataFrame, allow: DataFrame, suffixes=None, require_date: bool = True,
           keep_rejects: bool = False, url: str = "url", html: str = "html",
           warc_date: str | None = None) -> DataFrame:
-    """The whole crawl stage: records -> articles (F22 reason codes when ``keep_rejects``)."""
+    """The whole crawl stage: records -> articles (F22 reason codes when ``keep_rejects``).
+
+    Without rejects, URL rules and the allowlist run before any HTML expression (the extraction
+    only sees surviving records); with rejects every record is extracted to report its reason.
+    """
     df = record_filter(pages)
+    wd = F.col(warc_date).cast("string") if warc_date else None
+    if not keep_rejects:
+        df = url_filter(df, allow, url=url, suffixes=suffixes)
+        df = extract_articles(df, html)
+        df = quality_filter(df, require_date=require_date, html=html)
+        return with_lineage(df, wd)
     df = url_filter(df, allow, url=url, suffixes=suffixes, keep_rejects=True)
     df = extract_articles(df, html)
     qual = quality_reason(require_date=require_date, html=html)
     df = df.withColumn("reject_reason", F.coalesce(F.col("url_reject"), qual)).drop("url_reject")
-    df = with_lineage(df, F.col(warc_date).cast("string") if warc_date else None)
-    if keep_rejects:
-        return df
-    return df.filter(F.col("reject_reason").isNull()).drop("reject_reason", "lang")
+    return with_lineage(df, wd)
 
 
 def reject_report(rejects: DataFrame) -> DataFrame:

@@ -110,3 +110,26 @@ def sample_articles(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame
     """
     u = rand.uniform(seed, "sample", key)
     return df.withColumn("_u", u).orderBy("_u", key).limit(n).drop("_u")
+
+
+def dump_and_key(path: str = "path", propaganda: bool = False) -> tuple[Column, Column]:
+    """Dump id = second path segment; output key = ``{prefix}{dump}/{rest joined by _}.jsonl``."""
+    parts = F.split(F.col(path), "/", -1)
+    dump = parts.getItem(1)
+    rest = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))), "_")
+    prefix = "propaganda-" if propaganda else ""
+    return dump, F.concat(F.lit(prefix), dump, F.lit("/"), rest, F.lit(".jsonl"))
+
+
+def check_valid(df: DataFrame, date: str | None = "publish_date", label: str | None = None,
+                labels: list[str] | None = None, fail: bool = False) -> DataFrame:
+    """validity of dates (and labels).  ``fail=True`` stops the job on the first invalid row,
+    as the original's assertions do; otherwise a ``valid`` column is added for a reject table."""
+    ok = F.lit(True)
+    if date:
+        ok = ok & T.valid_date(date)
+    if label:
+        ok = ok & F.coalesce(F.col(label).isin(labels or fixed.CLASS_LABELS), F.lit(False))
+    if fail:
+        return df.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid row")))).drop("_ok")
+    return df.withColumn("valid", ok)

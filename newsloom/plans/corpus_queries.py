@@ -285,3 +285,21 @@ SELECT doc_id, source FROM {MERGE_SQL} ORDER BY {S.uniform(0, 'sample', 'doc_id'
 def doc_sample(spark: SparkSession, sf: str) -> DataFrame:
     """W8 + A11: a seeded random sample of 50 merged articles (sampling is the feature)."""
     return M.sample_articles(_merged(spark, sf), 50, "doc_id").select("doc_id", "source")
+
+
+PATH_SQL = """(SELECT doc_id, 'crawl-data/' || source || '/segments/' || CAST(doc_id // 100 AS VARCHAR) || '/warc/part-'
+    || CAST(doc_id AS VARCHAR) || '.warc.gz' AS path FROM documents)"""
+
+
+@register("doc_dump_keys", f"""
+SELECT doc_id, string_split(path, '/')[2] AS dump,
+  string_split(path, '/')[2] || '/' || array_to_string(string_split(path, '/')[3:], '_') || '.jsonl' AS out_key
+FROM {PATH_SQL}""")
+def doc_dump_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Dump id and output key from an archive path (paths built from each document's source)."""
+    d = K.table(spark, sf, "documents")
+    path = F.concat(F.lit("crawl-data/"), F.col("source"), F.lit("/segments/"),
+                    F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/warc/part-"),
+                    F.col("doc_id").cast("string"), F.lit(".warc.gz"))
+    dump, key = M.dump_and_key("path")
+    return d.select("doc_id", path.alias("path")).select("doc_id", dump.alias("dump"), key.alias("out_key"))

@@ -376,3 +376,38 @@ def clf_train(spark: SparkSession, sf: str) -> DataFrame:
     model = MD.train_classifier(ex.where(F.col("split") == "train"))
     scored = MD.classify(model, ex)
     return E.accuracy(scored, by=["split"])
+
+
+@register("gen_format_context", f"""
+WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, array_to_string(list_concat(
+    CASE WHEN t <> '' THEN {_wrap_sql(word_ids_sql('t'), 'title')} ELSE []::INTEGER[] END,
+    CASE WHEN t <> '' THEN list_concat([{SP['begin_article']}], {word_ids_sql('t')}, [{SP['end_article']}]) ELSE []::INTEGER[] END,
+    [{SP['begin_summary']}]), ' ') AS context
+FROM c""")
+def gen_format_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Q9: generation context from raw strings (the turn is the title; the article copies the title
+    because the target is the summary; empty fields are skipped)."""
+    c = _prompts(spark, sf).withColumn("t", F.trim("text"))
+    present = F.col("t") != ""
+    c = c.select("conv_id", "turn",
+                 F.when(present, Q.wrap(word_ids("t"), SP["begin_title"], SP["end_title"])).alias("p_title"),
+                 F.when(present, Q.wrap(word_ids("t"), SP["begin_article"], SP["end_article"])).alias("p_title_as_article"),
+                 *[F.lit(None).cast("array<int>").alias(f"p_{f}") for f in ("domain", "date", "authors")])
+    ctx = Q.format_context(c, "summary", {"summary": SP["begin_summary"]})
+    return ctx.select("conv_id", "turn", F.array_join("context", " ").alias("context"))
+
+
+@register("date_valid", f"""
+SELECT o_orderkey,
+  (len(string_split(strftime(o_orderdate, '%m-%d-%Y'), '-')) = 3
+     AND regexp_matches(string_split(strftime(o_orderdate, '%m-%d-%Y'), '-')[1], '^[0-9]+$')) AS date_ok,
+  coalesce(len(string_split(o_orderpriority, '-')) = 3
+     AND regexp_matches(string_split(o_orderpriority, '-')[1], '^[0-9]+$'), false) AS priority_as_date_ok
+FROM orders""")
+def date_valid(spark: SparkSession, sf: str) -> DataFrame:
+    """date validity (three parts, numeric month) of formatted order dates and, as a negative
+    case, of the priority strings."""
+    o = K.table(spark, sf, "orders").select("o_orderkey", TX.mm_dd_yyyy("o_orderdate").alias("d"), "o_orderpriority")
+    return o.select("o_orderkey", TX.valid_date("d").alias("date_ok"),
+                    TX.valid_date("o_orderpriority").alias("priority_as_date_ok"))
