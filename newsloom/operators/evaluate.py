@@ -26,8 +26,9 @@ def attach_scores(examples: DataFrame, scores: DataFrame, key: str = "raw_index"
     n_ex = examples.select(F.count(F.lit(1))).scalar()
     n_sc = scores.select(F.count(F.lit(1))).scalar()
     joined = examples.join(scores, key, "inner")
-    return joined.withColumn("_chk", F.when(n_ex == n_sc, F.lit(True)).otherwise(
-        F.raise_error(F.lit("score rows and example rows differ in number")))).drop("_chk")
+    # a filter (not a dropped column) so the optimizer keeps the check
+    return joined.where(F.when(n_ex == n_sc, F.lit(True)).otherwise(
+        F.raise_error(F.lit("score rows and example rows differ in number")).cast("boolean")))
 
 
 def accuracy(df: DataFrame, label: str = "label", pred: Column | None = None, by: list[str] | None = None,

@@ -131,5 +131,5 @@ def check_valid(df: DataFrame, date: str | None = "publish_date", label: str | N
     if label:
         ok = ok & F.coalesce(F.col(label).isin(labels or fixed.CLASS_LABELS), F.lit(False))
     if fail:
-        return df.withColumn("_ok", F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid row")))).drop("_ok")
+        return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid row")).cast("boolean")))
     return df.withColumn("valid", ok)
