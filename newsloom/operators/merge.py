@@ -133,3 +133,13 @@ def check_valid(df: DataFrame, date: str | None = "publish_date", label: str | N
     if fail:
         return df.where(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("invalid row")).cast("boolean")))
     return df.withColumn("valid", ok)
+
+
+def keep_splits(df: DataFrame, drop: list[str] = ("train",), split: str = "split") -> DataFrame:
+    """drop rows of the given splits (e.g. train for evaluation, ``ignore`` for the corpus)."""
+    return df.where(~F.col(split).isin(list(drop)))
+
+
+def fold_filter(df: DataFrame, line: str, num_folds: int, fold: int) -> DataFrame:
+    """rows whose line number falls in one fold (line mod folds == fold)."""
+    return df.where(F.pmod(F.col(line), F.lit(num_folds)) == fold)

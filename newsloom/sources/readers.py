@@ -102,3 +102,24 @@ def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_in
     return (local.join(F.broadcast(offsets.select(*groups, "_bk", "_off")), groups + ["_bk"])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_bk", "_local", "_off"))
+
+
+def read_dumps(spark: SparkSession, paths_by_dump: dict[str, list[str] | str], order_table: DataFrame,
+               suffix: str | None = ".jsonl", schema=ARTICLE_SCHEMA) -> DataFrame:
+    """S4 + U1 + J7: every dump's articles with a total precedence order
+    ``(priority, source_file, block_start, position)``.
+
+    One read per dump (file listing stays in Spark's file index), unioned; the dump -> priority
+    table has one row per dump (a proven bound) and is broadcast.  Within a file, lines keep their
+    order: ``input_file_block_start()`` orders the splits of a file and the monotonically increasing
+    id orders rows inside one split.
+    """
+    parts = []
+    for dump, paths in paths_by_dump.items():
+        df = read_articles(spark, paths, suffix=suffix, schema=schema)
+        parts.append(df.withColumns({"dump": F.lit(dump), "block_start": F.input_file_block_start(),
+                                     "position": F.monotonically_increasing_id()}))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.join(F.broadcast(order_table), "dump", "inner")

@@ -82,3 +82,22 @@ def test_attach_scores_checks_counts(spark):
     assert E.attach_scores(ex, sc).count() == 2
     with pytest.raises(Exception):
         E.attach_scores(ex, sc.where("raw_index = 0")).collect()
+
+
+def test_read_dumps_order(spark):
+    from newsloom.operators import dedupe as D, merge as M
+    d = scratch()
+    mk = lambda rows: spark.createDataFrame(rows, R.ARTICLE_SCHEMA)
+    base = ("T" * 40, "x", None, [], "01-02-2019", "success", None, "a.com", "z", "train")
+    def row(url, text):
+        r = list(base); r[6] = url; r[1] = text
+        return tuple(r)
+    mk([row("u1", "same"), row("u2", "other")]).coalesce(1).write.json(f"{d}/old")
+    mk([row("u1", "new")]).coalesce(1).write.json(f"{d}/new")
+    order = M.dump_order_table(spark, ["old", "new"], archive=None)
+    df = R.read_dumps(spark, {"old": f"{d}/old", "new": f"{d}/new"}, order, suffix=".json")
+    df = df.withColumn("ck", F.substring("text", 1, 100))
+    kept = D.greedy_dedupe(df.withColumn("o", D.order_column("priority", "source_file", "block_start", "position")),
+                           ["url", "ck"], "o")
+    got = sorted((r["dump"], r["url"]) for r in kept.collect())
+    assert got == [("new", "u1"), ("old", "u2")]          # newest dump wins u1
