@@ -74,13 +74,15 @@ def greedy_dedupe_orders(df: DataFrame, keys: list[str], order: str, checkpoint_
 
 
 def greedy_dedupe(df: DataFrame, keys: list[str], order: str, seen: dict[str, DataFrame] | None = None,
-                  checkpoint_every: int = 1) -> DataFrame:
+                  checkpoint_every: int = 1, materialize: bool = True) -> DataFrame:
     """D1 (+ D5 when ``seen`` maps key column -> DataFrame of already registered values).
 
     Rows whose key is already registered in ``seen`` are dropped first (they come after the
     existing corpus); the remaining rows are deduplicated greedily.  Returns the kept rows.
+    With ``materialize`` the input is checkpointed once, so its upstream work (extraction,
+    cleaning) runs once for both the key rounds and the final selection of kept rows.
     """
-    base = df
+    base = cut_lineage(df) if materialize else df
     if seen:
         for k, s in seen.items():
             base = base.join(s.select(F.col(s.columns[0]).alias(k)).where(F.col(k).isNotNull()), k, "left_anti")

@@ -27,9 +27,11 @@ def word_tokens(df: DataFrame, text: str, doc: str, pattern: str = WORD_PATTERN)
     return df.select(doc, F.posexplode(z).alias("pos", "pt")).select(doc, "pos", "pt.prev", "pt.token")
 
 
-def ngram_fit(tokens: DataFrame) -> DataFrame:
-    """Bigram counts (prev, token, n)."""
-    return tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+def ngram_fit(tokens: DataFrame, materialize: bool = True) -> DataFrame:
+    """Bigram counts (prev, token, n) -- the fitted model, materialised once (it is read by the
+    vocabulary size, the context totals and the scoring join)."""
+    counts = tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
+    return cut_lineage(counts) if materialize else counts
 
 
 def ngram_score(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:

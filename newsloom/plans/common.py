@@ -19,8 +19,19 @@ QUERY_SUFFIXES = DEFAULT_SUFFIXES + ["example.com", "example.net", "example.org"
 NET_SUBDOMAINS = ["", "www", "blog"]
 
 
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Read a test table.  The text-heavy tables get at least one partition per core: a single
+    small file with few row groups would otherwise leave cores idle.  On a cluster the input has
+    far more splits than cores and this never applies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES:
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores)
+    return df
 
 
 def page_allowlist(pages: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, text as TX
 from newsloom.operators import evaluate as E, models as MD, sequences as Q, tokenize as TK
 from newsloom.plans import common as K, sqltext as S
+from newsloom.session import cut_lineage
 from newsloom.sources.readers import with_row_index
 
 QUERIES: dict = {}
@@ -201,7 +202,8 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     lay = _laid(spark, sf)
     lay = with_row_index(lay, ["doc_id"], "line")
     lay = M.assign_split(lay, "doc_id")
-    return Q.assign_folds(lay, "line", FOLDS)
+    # the laid-out corpus feeds two branches and a quantile pass: materialise it once
+    return cut_lineage(Q.assign_folds(lay, "line", FOLDS))
 
 
 FOLDED_SQL = f"""(SELECT *, CAST((row_number() OVER (ORDER BY doc_id) - 1) % {FOLDS} AS INTEGER) AS fold,
