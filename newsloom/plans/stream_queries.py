@@ -29,11 +29,12 @@ def register(name: str, sql: str | None = None):
 
 
 def _run(spark: SparkSession, sf: str) -> str:
-    """Write documents as N ordered files, stream them through ST1, return the store path."""
+    """Write documents as N ordered parts of files, stream them through ST1, return the store path."""
     root = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = K.table(spark, sf, "documents").select(
         "doc_id", "source", T.content_key("text", end=True).alias("k_end"), T.content_key("text").alias("k_start"))
     bounds = docs.approxQuantile("doc_id", [i / N_FILES for i in range(1, N_FILES)], 0.0)
+    files_per_part = spark.sparkContext.defaultParallelism
     edges = [None] + bounds + [None]
     for i in range(N_FILES):
         part = docs
@@ -41,8 +42,10 @@ def _run(spark: SparkSession, sf: str) -> str:
             part = part.where(F.col("doc_id") > edges[i])
         if edges[i + 1] is not None:
             part = part.where(F.col("doc_id") <= edges[i + 1])
-        part.coalesce(1).write.parquet(f"{root}/in/{i:04d}")
-    stream = (spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1)
+        # parts are written one after another, so every file of part i is older than any file of
+        # part i + 1; the stream takes files oldest first, which is all D1 needs across batches
+        part.repartition(files_per_part).write.parquet(f"{root}/in/{i:04d}")
+    stream = (spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_part)
               .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
     q = ST.stream_dedupe(stream, f"{root}/store", ["k_end", "k_start"], "doc_id", f"{root}/ckpt")
     q.awaitTermination()

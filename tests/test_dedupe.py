@@ -72,3 +72,13 @@ def test_ban_rows(spark):
                                 ("Image 1 of 2 Image 2 of 2", ["A"])], "text string, authors array<string>")
     out = D.ban_rows(df, keep_rejects=True).select("ban_reason").collect()
     assert [r[0] for r in out] == ["gallery", "author_line", None]
+
+
+def test_hot_key_third_of_rows(spark):
+    """One url key holds a third of the rows; the answer must still equal the sequential walk."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(300):
+        k1 = "hot" if i % 3 == 0 else str(rnd.randint(0, 60))
+        rows.append((i, k1, str(rnd.randint(0, 80))))
+    assert run(spark, rows) == sequential(rows)

@@ -63,3 +63,15 @@ def test_draw_is_reproducible(spark):
     a = sorted(SM.draw(df, ["c"], "t", "w", seed=1).select("c", "t").collect())
     b = sorted(SM.draw(df.repartition(7), ["c"], "t", "w", seed=1).select("c", "t").collect())
     assert a == b and len(a) == 20
+
+
+def test_row_index_and_topp_with_a_hot_group(spark):
+    from newsloom.sources.readers import with_row_index
+    df = spark.range(0, 900).select(F.col("id").alias("o"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7 + 1).alias("g"))
+    out = with_row_index(df, ["o"], "i", partition_by=["g"]).collect()
+    hot = sorted((r["o"], r["i"]) for r in out if r["g"] == 0)
+    assert [i for _, i in hot] == list(range(300))
+    cands = spark.range(0, 600).select((F.col("id") % 2).alias("c"), F.col("id").cast("string").alias("t"),
+                                       (F.col("id") % 5 + 1).alias("w"))
+    kept = SM.top_p(cands, ["c"], "t", "w", 0.5).groupBy("c").count().collect()
+    assert all(r["count"] > 1 for r in kept)
