@@ -1,0 +1,46 @@
+"""Approximate membership with a Bloom filter held as a distributed table.
+
+The original keeps two in-memory bit arrays (14.4 Gbit, 10 hashes each).  Here a filter is the set
+of bit positions that are on -- at most ``m`` rows, stored as a DataFrame -- built by exploding k
+positions per key (double hashing, positions ``(h1 + i * h2) mod m`` from md5) and a ``distinct``.
+A membership test explodes the k positions of each probe key and counts how many are present
+(one equi-join on the position: positions are uniform, so there is no hot key); a key is "maybe
+seen" iff all k are on.  No false negatives; false positives ~ (1 - e^(-kn/m))^k.
+
+The exact dedupe (D1) is the default; this is for membership checks against a kept corpus where
+an approximate answer is acceptable (e.g. a cheap pre-filter before the exact anti-join).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def _h(key: Column, lo: int) -> Column:
+    return F.conv(F.substring(F.md5(key.cast("string")), lo, 8), 16, 10).cast("bigint")
+
+
+def positions(key: Column, m: int, k: int) -> Column:
+    """array of the k bit positions of ``key``."""
+    h1, h2 = _h(key, 1), _h(key, 9)
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(h1 + i.cast("bigint") * h2, F.lit(m)))
+
+
+def build_filter(df: DataFrame, key: str, m: int, k: int) -> DataFrame:
+    """The filter: distinct on-bit positions of every key in ``df`` (``pos`` column)."""
+    return (df.where(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), m, k)).alias("pos"))
+            .distinct())
+
+
+def maybe_seen(df: DataFrame, key: str, bits: DataFrame, m: int, k: int, name: str = "maybe_seen") -> DataFrame:
+    """Add ``maybe_seen``: true iff all k positions of the row's key are on in ``bits``.
+    The test runs once per distinct key and is joined back, so repeated keys cost one probe."""
+    keys = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    probes = keys.select("_k", F.explode(F.array_distinct(positions(F.col("_k"), m, k))).alias("pos"))
+    need = keys.select("_k", F.size(F.array_distinct(positions(F.col("_k"), m, k))).alias("_need"))
+    hits = probes.join(bits, "pos", "left_semi").groupBy("_k").agg(F.count(F.lit(1)).alias("_hit"))
+    verdict = need.join(hits, "_k", "left").select(
+        "_k", (F.coalesce(F.col("_hit"), F.lit(0)) == F.col("_need")).alias(name))
+    out = df.join(verdict, df[key] == verdict["_k"], "left").drop("_k")
+    return out.withColumn(name, F.coalesce(F.col(name), F.lit(False)))

@@ -82,3 +82,13 @@ def test_hot_key_third_of_rows(spark):
         k1 = "hot" if i % 3 == 0 else str(rnd.randint(0, 60))
         rows.append((i, k1, str(rnd.randint(0, 80))))
     assert run(spark, rows) == sequential(rows)
+
+
+def test_bloom_no_false_negatives(spark):
+    from newsloom.operators import bloom as B
+    members = spark.createDataFrame([(f"key{i}",) for i in range(200)], "k string")
+    bits = B.build_filter(members, "k", 1 << 14, 5)
+    probe = spark.createDataFrame([(f"key{i}",) for i in range(0, 400)], "k string")
+    out = {r["k"]: r["maybe_seen"] for r in B.maybe_seen(probe, "k", bits, 1 << 14, 5).collect()}
+    assert all(out[f"key{i}"] for i in range(200))
+    assert sum(out[f"key{i}"] for i in range(200, 400)) <= 5      # ~1e-5 expected false positives each
