@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from newsloom.functions import fixed
+from newsloom.session import cut_lineage
 from newsloom.sources.readers import with_row_index
 
 
@@ -66,8 +67,9 @@ def balance_pairs(train: DataFrame, order: str, cap: int | None = None, extra: D
     """F21 + U3 + J5: cap the machine class to its first ``cap`` rows, top it up from ``extra``
     machine rows (up to the number of humans), then pair human i with machine (i mod n) and
     interleave them: positions 2i (human), 2i+1 (machine)."""
-    humans = with_row_index(train.where(F.col(label) == "human"), [order], "i")
-    machines = with_row_index(train.where(F.col(label) == "machine"), [order], "j")
+    # numbered class lists are read by counts and joins below: materialise them once
+    humans = cut_lineage(with_row_index(train.where(F.col(label) == "human"), [order], "i"))
+    machines = cut_lineage(with_row_index(train.where(F.col(label) == "machine"), [order], "j"))
     if cap is not None:
         machines = machines.where(F.col("j") < cap)
     if extra is not None:

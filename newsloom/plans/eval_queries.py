@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, rand
 from newsloom.operators import evaluate as E
 from newsloom.plans import common as K, sqltext as S
+from newsloom.session import cut_lineage
 from newsloom.sources.readers import with_row_index
 
 QUERIES: dict = {}
@@ -56,11 +57,12 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     gen = (F.col("label") == "machine") | (F.col("k") < F.col("n_m"))
     u = rand.uniform(1, "score", "doc_id")
     machine = F.when(F.col("label") == "machine", F.lit(0.35) + F.lit(0.65) * u).otherwise(F.lit(0.75) * u)
-    return numbered.select(
+    # the score table is an artifact (the original writes it to a file): materialise it once
+    return cut_lineage(numbered.select(
         "raw_index", "doc_id", "split", "label",
         F.when(gen, "gen").otherwise("train_burner").alias("orig_split"),
         F.when(gen, F.col("k")).alias("ind30k"),
-        machine.alias("machine"), (F.lit(1.0) - machine).alias("human"))
+        machine.alias("machine"), (F.lit(1.0) - machine).alias("human")))
 
 
 SC_SQL = f"""(SELECT (row_number() OVER (ORDER BY doc_id) - 1) AS raw_index, doc_id, split, label,
