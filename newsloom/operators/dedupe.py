@@ -75,7 +75,8 @@ def greedy_dedupe_orders(df: DataFrame, keys: list[str], order: str, checkpoint_
 
 def greedy_dedupe(df: DataFrame, keys: list[str], order: str, seen: dict[str, DataFrame] | None = None,
                   checkpoint_every: int = 1, materialize: bool = True) -> DataFrame:
-    """D1 (+ D5 when ``seen`` maps key column -> DataFrame of already registered values).
+    """D1 (+ D5 when ``seen`` maps key column -> DataFrame of already registered values; the
+    "not already seen" test is J4, one left-anti join per key).
 
     Rows whose key is already registered in ``seen`` are dropped first (they come after the
     existing corpus); the remaining rows are deduplicated greedily.  Returns the kept rows.
