@@ -168,11 +168,12 @@ r AS (SELECT split, CASE WHEN label = 'machine' THEN 0 ELSE 1 END AS label_id,
              -ln(CASE WHEN label = 'machine' THEN machine ELSE human END) AS loss, 1 AS w FROM s),
 n AS (SELECT split, count(*) AS n FROM s GROUP BY split),
 p AS (SELECT split, 0 AS label_id, 0 AS pred_id, 0.0 AS loss, 0 AS w FROM n, range(((-n) % {BATCH} + {BATCH}) % {BATCH}))
-SELECT split, sum(w * CASE WHEN label_id = pred_id THEN 1.0 ELSE 0.0 END) / sum(w) AS accuracy,
-       sum(w * loss) / sum(w) AS loss, count(*) AS n_rows
+SELECT split, round(sum(w * CASE WHEN label_id = pred_id THEN 1.0 ELSE 0.0 END) / sum(w), 9) AS accuracy,
+       round(sum(w * loss) / sum(w), 9) AS loss, count(*) AS n_rows
 FROM (SELECT * FROM r UNION ALL SELECT * FROM p) GROUP BY split""")
 def eval_weighted(spark: SparkSession, sf: str) -> DataFrame:
     """Q12 + A8: examples padded to full batches with is_real_example = 0, metrics weighted by it."""
     f = _features(spark, sf)
     m = E.weighted_metrics(f, by=["split"])
+    m = m.select("split", F.round("accuracy", 9).alias("accuracy"), F.round("loss", 9).alias("loss"))
     return m.join(f.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows")), "split")

@@ -79,8 +79,8 @@ def sample_draw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("sample_softmax", """
-SELECT vec_id, label, exp(d) / sum(exp(d)) OVER (PARTITION BY label) AS prob,
-       d - ln(sum(exp(d)) OVER (PARTITION BY label)) AS logprob
+SELECT vec_id, label, round(exp(d) / sum(exp(d)) OVER (PARTITION BY label), 9) AS prob,
+       round(d - ln(sum(exp(d)) OVER (PARTITION BY label)), 9) AS logprob
 FROM (SELECT vec_id, label, x - max(x) OVER (PARTITION BY label) AS d
       FROM (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 10.0 AS x FROM embeddings))""")
 def sample_softmax(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +89,7 @@ def sample_softmax(spark: SparkSession, sf: str) -> DataFrame:
         "vec_id", "label", (F.col("embedding").getItem(0).cast("double") * 10.0).alias("x"))
     out = SM.softmax(emb, ["label"], "x", "prob")
     out = SM.softmax(out, ["label"], "x", "logprob", log=True)
-    return out.select("vec_id", "label", "prob", "logprob")
+    return out.select("vec_id", "label", F.round("prob", 9).alias("prob"), F.round("logprob", 9).alias("logprob"))
 
 
 # ------------------------------------------------------------------------------ M1 n-gram LM
@@ -115,22 +115,23 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("lm_perplexity", f"""
-SELECT item_id, exp(-avg(gt_logprob)) AS perplexity, count(*) AS n_tokens FROM {SCORED} GROUP BY item_id""")
+SELECT item_id, round(exp(-avg(gt_logprob)), 6) AS perplexity, count(*) AS n_tokens FROM {SCORED} GROUP BY item_id""")
 def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     """M1 + A3: per held-out text, perplexity under the bigram model of the corpus."""
-    return _scored(spark, sf).groupBy("item_id").agg(F.exp(-F.avg("gt_logprob")).alias("perplexity"),
+    return _scored(spark, sf).groupBy("item_id").agg(F.round(F.exp(-F.avg("gt_logprob")), 6).alias("perplexity"),
                                                      F.count(F.lit(1)).alias("n_tokens"))
 
 
 @register("lm_corpus_perplexity", f"""
-SELECT exp(-avg(gt_logprob)) AS perplexity, count(*) AS n_tokens,
-       sum(-gt_logprob) / (count(*) + 1e-5) AS mean_loss FROM {SCORED}""")
+SELECT round(exp(-avg(gt_logprob)), 6) AS perplexity, count(*) AS n_tokens,
+       round(sum(-gt_logprob) / (count(*) + 1e-5), 9) AS mean_loss FROM {SCORED}""")
 def lm_corpus_perplexity(spark: SparkSession, sf: str) -> DataFrame:
     """A3 (token weighted over all texts) + A7 (masked mean loss, every target real)."""
     sc = _scored(spark, sf).withColumn("loss", -F.col("gt_logprob")).withColumn("target", F.lit(1))
     ppl = sc.agg(F.exp(-F.avg("gt_logprob")).alias("perplexity"), F.count(F.lit(1)).alias("n_tokens"))
     ml = E.masked_mean_loss(sc)
-    return ppl.withColumn("_k", F.lit(1)).join(ml.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    out = ppl.withColumn("_k", F.lit(1)).join(ml.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return out.select(F.round("perplexity", 6).alias("perplexity"), "n_tokens", F.round("mean_loss", 9).alias("mean_loss"))
 
 
 @register("lm_predict", f"""
@@ -139,13 +140,14 @@ best AS (SELECT prev, token AS prediction, n AS nbest FROM (
     SELECT *, row_number() OVER (PARTITION BY prev ORDER BY n DESC, token) AS r FROM c) WHERE r = 1),
 req AS (SELECT prev, token, CAST(sum(n) OVER (PARTITION BY prev ORDER BY n DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
           - sum(n) OVER (PARTITION BY prev, n) AS DOUBLE) / sum(n) OVER (PARTITION BY prev) AS top_p_required FROM c)
-SELECT s.item_id, s.pos, s.token, s.gt_logprob, b.prediction,
-  ln((coalesce(b.nbest, 0) + 1.0) / (s.n_ctx + 1.0 * (SELECT count(DISTINCT token) + 1 FROM c))) AS pred_logprob,
-  coalesce(r.top_p_required, CASE WHEN s.n_ctx > 0 THEN 1.0 ELSE 0.0 END) AS top_p_required
+SELECT s.item_id, s.pos, s.token, round(s.gt_logprob, 9) AS gt_logprob, b.prediction,
+  round(ln((coalesce(b.nbest, 0) + 1.0) / (s.n_ctx + 1.0 * (SELECT count(DISTINCT token) + 1 FROM c))), 9) AS pred_logprob,
+  round(coalesce(r.top_p_required, CASE WHEN s.n_ctx > 0 THEN 1.0 ELSE 0.0 END), 9) AS top_p_required
 FROM {SCORED} s LEFT JOIN best b ON s.prev = b.prev LEFT JOIN req r ON s.prev = r.prev AND s.token = r.token""")
 def lm_predict(spark: SparkSession, sf: str) -> DataFrame:
     """M1 predictor outputs per position: gt_logprob, prediction, pred_logprob, top_p_required."""
     train = MD.word_tokens(K.table(spark, sf, "documents"), "text", "doc_id")
     test = MD.word_tokens(K.table(spark, sf, "benchmark"), "text", "item_id")
     out = MD.ngram_predict(test, MD.ngram_fit(train))
-    return out.select("item_id", "pos", "token", "gt_logprob", "prediction", "pred_logprob", "top_p_required")
+    return out.select("item_id", "pos", "token", F.round("gt_logprob", 9).alias("gt_logprob"), "prediction",
+                      F.round("pred_logprob", 9).alias("pred_logprob"), F.round("top_p_required", 9).alias("top_p_required"))
