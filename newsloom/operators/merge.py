@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed, rand, text as T
 from newsloom.operators import dedupe as D
+from newsloom.operators.common import with_computed
 
 
 def fix_authors(df: DataFrame, text: str = "text", authors: str = "authors", summary: str | None = "summary",
@@ -24,11 +25,8 @@ def fix_authors(df: DataFrame, text: str = "text", authors: str = "authors", sum
     if byline_requires_newline:
         cond = cond & F.contains(after, F.lit("\n"))
     cond = cond & (F.size(F.split(first, " ", -1)) < fixed.BYLINE_MAX_WORDS)
-    out = df.withColumns({
-        authors: F.when(cond, F.array(T.strip(first))).otherwise(a),
-        text: F.when(cond, T.strip(rest)).otherwise(t),
-    })
-    out = out.withColumn(authors, F.filter(F.col(authors), T.plausible_author))
+    new_authors = F.filter(F.when(cond, F.array(T.strip(first))).otherwise(a), T.plausible_author)
+    out = with_computed(df, {authors: new_authors, text: F.when(cond, T.strip(rest)).otherwise(t)})
     if summary and summary in df.columns:
         out = out.withColumn(summary, T.summary_or_null(summary))
     return out
@@ -40,7 +38,7 @@ def strip_boilerplate(df: DataFrame, text: str = "text", domain: str | None = "d
     c = T.strip_boilerplate_text(text, rules)
     if domain and domain in df.columns:
         c = T.undouble_names(c, domain, names, on_domain)
-    return df.withColumn(text, c)
+    return with_computed(df, {text: c})
 
 
 def assign_split(df: DataFrame, key: str | list[str], train: float = fixed.TRAIN_PORTION, seed: int = 0,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, text as TX
 from newsloom.operators import evaluate as E, models as MD, sequences as Q, tokenize as TK
 from newsloom.plans import common as K, sqltext as S
+from newsloom.operators.common import with_computed
 from newsloom.session import cut_lineage
 from newsloom.sources.readers import with_row_index
 
@@ -107,16 +108,17 @@ def pieces(spark: SparkSession, sf: str) -> DataFrame:
     second = F.substring_index(body, "\n", 1)
     d = d.select("doc_id", "source", title.alias("title"), body.alias("article"),
                  F.when(F.length(second) > fixed.MIN_PIECE_SUMMARY_LENGTH, second).alias("summary"))
-    d = d.select("doc_id", "source", *[F.col(c).alias(f"t_{c}") for c in ("title", "article", "summary")],
-                 word_ids("source").alias("w_domain"), word_ids("title").alias("w_title"),
-                 word_ids("article").alias("w_article"), word_ids("summary").alias("w_summary"))
-    return d.select("doc_id", "source",
+    d = d.select("doc_id", "source", *[F.col(c).alias(f"t_{c}") for c in ("title", "article", "summary")])
+    d = with_computed(d, {"w_domain": word_ids("source"), "w_title": word_ids("t_title"),
+                          "w_article": word_ids("t_article"), "w_summary": word_ids("t_summary")})
+    d = d.select("doc_id", "source",
                     Q.wrap(F.col("w_domain"), SP["begin_domain"], SP["end_domain"]).alias("p_domain"),
                     Q.wrap(F.col("w_title"), SP["begin_title"], SP["end_title"]).alias("p_title"),
                     Q.wrap(F.col("w_article"), SP["begin_article"], SP["end_article"]).alias("p_article"),
                     F.when(F.col("t_summary").isNotNull(),
                            Q.wrap(F.col("w_summary"), SP["begin_summary"], SP["end_summary"])).alias("p_summary"),
                     F.lit(None).cast("array<int>").alias("p_date"), F.lit(None).cast("array<int>").alias("p_authors"))
+    return d
 
 
 def _wrap_sql(x: str, field: str) -> str:
