@@ -266,12 +266,38 @@ def seq_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return Q.buffer_batches(short, seed=SEED).select("fold", "inst_index", "buffer_batch", "buffer_order")
 
 
-@register("seq_packed")
+def _pack_sql(size: int, reset: int) -> str:
+    item = "STRUCT(i BIGINT, s VARCHAR, ids INTEGER[])"
+    grown = f"list_concat(acc.cur, [0, {reset}], x.ids)"
+    step = (f"CASE WHEN NOT acc.open THEN struct_pack(done := acc.done, open := true, ci := x.i, cs := x.s, cur := x.ids) "
+            f"WHEN len({grown}) >= {size} THEN struct_pack(done := list_append(acc.done, "
+            f"struct_pack(i := acc.ci, s := acc.cs, ids := {grown}[1:{size}])), open := false, ci := acc.ci, cs := acc.cs, cur := acc.cur) "
+            f"ELSE struct_pack(done := acc.done, open := true, ci := acc.ci, cs := acc.cs, cur := {grown}) END")
+    init = (f"struct_pack(done := []::{item}[], open := false, ci := 0::BIGINT, cs := '', cur := []::INTEGER[])")
+    return f"""(SELECT fold, r.i AS inst_index, r.s AS split, r.ids AS ids FROM (
+      SELECT fold, unnest(CASE WHEN st.open THEN list_append(st.done, struct_pack(i := st.ci, s := st.cs, ids := st.cur))
+                               ELSE st.done END) AS r
+      FROM (SELECT fold, list_reduce(items, lambda acc, x: {step}, {init}) AS st FROM (
+            SELECT fold, buffer_batch, list(struct_pack(i := inst_index, s := split, ids := input_ids)::{item} ORDER BY buffer_order) AS items
+            FROM short GROUP BY fold, buffer_batch))))"""
+
+
+@register("seq_packed", f"""
+WITH f AS {FOLDED_SQL},
+short AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY fold ORDER BY inst_index) - 1) / 100) AS BIGINT) AS buffer_batch,
+                 {S.uniform(SEED, 'buffer', 'fold', 'inst_index')} AS buffer_order
+          FROM f WHERE len(input_ids) > 0 AND split <> 'val' AND len(input_ids) < {L + 1}),
+p AS {_pack_sql(L + 1, SP['reset'])}
+SELECT fold, split, inst_index, 0 AS sub_index,
+       array_to_string(list_concat(ids, list_transform(range({L + 1} - len(ids)), lambda x: 0)), ' ') AS ids FROM p""")
 def seq_packed(spark: SparkSession, sf: str) -> DataFrame:
-    """Q6: short articles packed per buffer batch (pad + reset between articles)."""
+    """Q6 + Q7: short articles packed per buffer batch in shuffled order (pad + reset between
+    articles, overflow of the last one dropped), padded to L + 1."""
     f = _folded(spark, sf)
-    seqs = Q.build_sequences(f, size=L + 1, pack=True, reset=SP["reset"], seed=SEED)
-    return seqs.select("fold", "split", "inst_index", "sub_index", F.size("input_ids").alias("n_ids"))
+    short = f.where((F.size("input_ids") > 0) & (F.col("split") != "val") & (F.size("input_ids") < L + 1))
+    packed = Q.pack_buffer(Q.buffer_batches(short, seed=SEED), L + 1, pad=0, reset=SP["reset"])
+    return packed.select("fold", "split", "inst_index", F.lit(0).alias("sub_index"),
+                         F.array_join("input_ids", " ").alias("ids"))
 
 
 CLF_L = 64
