@@ -137,3 +137,15 @@ def valid_date(col) -> Column:
     """a ``MM-dd-yyyy`` string has three parts and a numeric month."""
     parts = F.split(_c(col), "-", -1)
     return F.coalesce((F.size(parts) == 3) & F.regexp_like(parts.getItem(0), F.lit(r"^[0-9]+$")), F.lit(False))
+
+
+def authors_text(col, min_len: int = fixed.MIN_AUTHORS_LENGTH) -> Column:
+    """Authors joined with ', ', used only when longer than ``min_len`` characters."""
+    joined = F.concat_ws(", ", _c(col))
+    return F.when(F.length(joined) > min_len, joined)
+
+
+def summary_text(col, min_len: int = fixed.MIN_PIECE_SUMMARY_LENGTH) -> Column:
+    """A summary is used as a field only when longer than ``min_len`` characters."""
+    c = _c(col)
+    return F.when(F.length(c) > min_len, c)

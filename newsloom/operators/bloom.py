@@ -22,19 +22,19 @@ def _h(key: Column, lo: int) -> Column:
 
 
 def positions(key: Column, m: int, k: int) -> Column:
-    """array of the k bit positions of ``key``."""
+    """Array of the k bit positions of ``key``."""
     h1, h2 = _h(key, 1), _h(key, 9)
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(h1 + i.cast("bigint") * h2, F.lit(m)))
 
 
 def build_filter(df: DataFrame, key: str, m: int, k: int) -> DataFrame:
-    """The filter: distinct on-bit positions of every key in ``df`` (``pos`` column)."""
+    """The filter -- distinct on-bit positions of every key in ``df`` (``pos`` column)."""
     return (df.where(F.col(key).isNotNull()).select(F.explode(positions(F.col(key), m, k)).alias("pos"))
             .distinct())
 
 
 def maybe_seen(df: DataFrame, key: str, bits: DataFrame, m: int, k: int, name: str = "maybe_seen") -> DataFrame:
-    """Add ``maybe_seen``: true iff all k positions of the row's key are on in ``bits``.
+    """Add ``maybe_seen``: true iff all k positions of the row's key are on in ``bits``.
     The test runs once per distinct key and is joined back, so repeated keys cost one probe."""
     keys = df.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     probes = keys.select("_k", F.explode(F.array_distinct(positions(F.col("_k"), m, k))).alias("pos"))

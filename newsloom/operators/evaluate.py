@@ -22,7 +22,7 @@ def argmax_label(machine: str = "machine", human: str = "human") -> Column:
 
 
 def attach_scores(examples: DataFrame, scores: DataFrame, key: str = "raw_index") -> DataFrame:
-    """Scores belong to examples by position.  Inner equi-join on the explicit position, with
+    """S7 + J3: scores belong to examples by position.  Inner equi-join on the explicit position, with
     both counts checked equal (the original asserts the shapes agree)."""
     n_ex = examples.select(F.count(F.lit(1))).scalar()
     n_sc = scores.select(F.count(F.lit(1))).scalar()
@@ -34,7 +34,7 @@ def attach_scores(examples: DataFrame, scores: DataFrame, key: str = "raw_index"
 
 def accuracy(df: DataFrame, label: str = "label", pred: Column | None = None, by: list[str] | None = None,
              name: str = "accuracy") -> DataFrame:
-    """A4: mean(prediction == label)."""
+    """A4 (+ A9 with ``by``): mean(prediction == label) per group."""
     pred = argmax_label() if pred is None else pred
     hit = (pred == F.col(label)).cast("double")
     g = df.groupBy(*by) if by else df.groupBy()
@@ -103,7 +103,7 @@ def masked_mean_loss(df: DataFrame, loss: str = "loss", target: str = "target",
 
 
 def token_position(ids: str, target: int, first: bool = True, default: int = -1) -> Column:
-    """W6 on an array: 0-based index of the first (last) occurrence, else ``default``."""
+    """W6 + W10 on an array: 0-based index of the first (last) occurrence, else ``default``."""
     c = F.col(ids)
     if first:
         p = F.array_position(c, F.lit(target))
@@ -147,3 +147,18 @@ def completion_rows(spark, n_real: int | Column, batch: int, size: int, intent:
     base = spark.range(1).select(F.explode(seq).alias("pad_index"))
     return base.select("pad_index", F.array_repeat(F.lit(0), size).alias("input_ids"),
                        F.lit(0).alias("label_id"), F.lit(0).alias("is_real_example"))
+
+
+def shift_targets(df: DataFrame, ids: str = "input_ids", pad: int = 0, extend: bool = False) -> DataFrame:
+    """P22 + P23: language-model inputs and targets from one id sequence: input = ids[:-1],
+    target = ids[1:] (or, with ``extend``, input = ids and target = ids[1:] + [pad]); ``weight`` =
+    1 where the target is not padding."""
+    c = F.col(ids)
+    n = F.size(c)
+    if extend:
+        inp, tgt = c, F.concat(F.slice(c, 2, F.greatest(n - 1, F.lit(0))), F.array(F.lit(pad)))
+    else:
+        inp = F.slice(c, 1, F.greatest(n - 1, F.lit(0)))
+        tgt = F.slice(c, 2, F.greatest(n - 1, F.lit(0)))
+    return df.withColumns({"inputs": inp, "targets": tgt,
+                           "weights": F.transform(tgt, lambda t: (t != pad).cast("int"))})

@@ -87,7 +87,7 @@ def merge_corpus(df: DataFrame, order_cols: list[str], url: str = "url", text: s
 
 
 def domain_counts(kept: DataFrame, domain: str = "domain") -> DataFrame:
-    """A1: kept articles per domain."""
+    """A1 (+ A10 for any grouping column): kept articles per domain."""
     return kept.groupBy(domain).agg(F.count(F.lit(1)).alias("n_articles"))
 
 
@@ -101,7 +101,7 @@ def hit_miss(all_rows: DataFrame, kept: DataFrame, order: str, source: str | Non
 
 
 def sample_articles(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Shuffle by a hash of (seed, key) and take ``n`` rows (sampling is the feature here).
+    """W8 + A11: shuffle by a hash of (seed, key) and take ``n`` rows (sampling is the feature here).
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: each task keeps its top n, the
     driver merges n x partitions rows -- bounded by n, independent of the corpus size.

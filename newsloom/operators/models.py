@@ -20,7 +20,7 @@ WORD_PATTERN = r"\p{L}+|\p{N}+"
 
 
 def word_tokens(df: DataFrame, text: str, doc: str, pattern: str = WORD_PATTERN) -> DataFrame:
-    """(doc, pos, prev, token): words with their predecessor, by array shifting (no window)."""
+    """M1 + P22: (doc, pos, prev, token) -- words with their predecessor, by array shifting (no window)."""
     toks = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     prevs = F.concat(F.array(F.lit(BOS)), F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))))
     z = F.arrays_zip(prevs.alias("prev"), toks.alias("token"))
@@ -28,14 +28,14 @@ def word_tokens(df: DataFrame, text: str, doc: str, pattern: str = WORD_PATTERN)
 
 
 def ngram_fit(tokens: DataFrame, materialize: bool = True) -> DataFrame:
-    """Bigram counts (prev, token, n) -- the fitted model, materialised once (it is read by the
+    """M1: bigram counts (prev, token, n) -- the fitted model, materialised once (it is read by the
     vocabulary size, the context totals and the scoring join)."""
     counts = tokens.groupBy("prev", "token").agg(F.count(F.lit(1)).alias("n"))
     return cut_lineage(counts) if materialize else counts
 
 
 def ngram_score(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """gt_logprob = ln((c(prev, tok) + a) / (c(prev) + a * V)), V = distinct tokens + 1 (unknown)."""
+    """M1 + J6: gt_logprob (score of the true token, gathered by join) = ln((c(prev, tok) + a) / (c(prev) + a * V)), V = distinct tokens + 1 (unknown)."""
     V = counts.select((F.countDistinct("token") + 1).alias("v")).scalar()
     ctx = counts.groupBy("prev").agg(F.sum("n").alias("n_ctx"))
     scored = (tokens.join(counts, ["prev", "token"], "left").join(ctx, "prev", "left")
@@ -45,7 +45,7 @@ def ngram_score(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> Dat
 
 
 def ngram_predict(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """The predictor's per-position outputs: gt_logprob, top_p_required (W3), prediction and its
+    """M1 + W3: the predictor's per-position outputs: gt_logprob, top_p_required (W3), prediction and its
     log-probability (the best candidate after ``prev``)."""
     scored = ngram_score(tokens, counts, alpha)
     best = SM.top_k(counts, ["prev"], "token", "n", 1).select(

@@ -6,7 +6,7 @@ from __future__ import annotations
 def registry():
     from newsloom.plans import corpus_queries
     mods = [corpus_queries]
-    for extra in ("eval_queries", "token_queries", "sample_queries", "stream_queries"):
+    for extra in ("eval_queries", "token_queries", "sample_queries", "stream_queries", "io_queries"):
         try:
             mods.append(__import__(f"newsloom.plans.{extra}", fromlist=["QUERIES"]))
         except ModuleNotFoundError as e:

@@ -116,7 +116,7 @@ CRAWL_KEPT_SQL = K.greedy_sql(
 SELECT domain, count(*) AS n_articles FROM {CRAWL_KEPT_SQL} GROUP BY domain""")
 def crawl_domain_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: pages -> URL rules + allowlist -> extraction -> quality gates -> greedy
-    (url, content-start) dedupe in page order -> articles per domain (A1)."""
+    (url, content-start: P27) dedupe in page order -> articles per domain (A1)."""
     pages = K.table(spark, sf, "pages")
     arts = C.crawl(pages, K.page_allowlist(pages), suffixes=K.QUERY_SUFFIXES, require_date=False)
     arts = arts.withColumn("ckey", T.content_key("text"))
@@ -181,7 +181,7 @@ DEDUPE_RAW_SQL = K.greedy_sql(
 
 @register("doc_dedupe", f"SELECT doc_id FROM {DEDUPE_RAW_SQL}")
 def doc_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy first-seen on (last 100, first 100 characters) in doc_id order."""
+    """D1 + P27: greedy first-seen on (last 100, first 100 characters) in doc_id order."""
     docs = K.table(spark, sf, "documents").select(
         "doc_id", T.content_key("text", end=True).alias("k_end"), T.content_key("text").alias("k_start"))
     return D.greedy_dedupe(docs, ["k_end", "k_start"], "doc_id").select("doc_id")
@@ -268,7 +268,7 @@ INC_OLD = 10
 @register("doc_incremental", f"SELECT doc_id FROM {MERGE_SQL} WHERE priority > {INC_OLD}")
 def doc_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """The newest sources are merged first; the older ones arrive as a second batch and are
-    deduplicated against the keys registered by the first (anti-join) and then among themselves."""
+    deduplicated against the keys registered by the first (J4 anti-joins) and then among themselves."""
     raw = K.table(spark, sf, "documents")
     docs = M.with_priority(K.inject(raw), K.source_priority(raw), dump="source")
     docs = D.ban_rows(M.strip_boilerplate(M.fix_authors(docs, summary=None), domain=None))

@@ -126,7 +126,7 @@ def lm_perplexity(spark: SparkSession, sf: str) -> DataFrame:
 SELECT round(exp(-avg(gt_logprob)), 6) AS perplexity, count(*) AS n_tokens,
        round(sum(-gt_logprob) / (count(*) + 1e-5), 9) AS mean_loss FROM {SCORED}""")
 def lm_corpus_perplexity(spark: SparkSession, sf: str) -> DataFrame:
-    """A3 (token weighted over all texts) + A7 (masked mean loss, every target real)."""
+    """M1 + A3 (token weighted over all texts) + P23 + A7 (masked mean loss, every target real)."""
     sc = _scored(spark, sf).withColumn("loss", -F.col("gt_logprob")).withColumn("target", F.lit(1))
     ppl = sc.agg(F.exp(-F.avg("gt_logprob")).alias("perplexity"), F.count(F.lit(1)).alias("n_tokens"))
     ml = E.masked_mean_loss(sc)

@@ -82,7 +82,7 @@ def tok_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("tok_vocab")
 def tok_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """T-1 + T-4 + P25: vocabulary ids for bytes, merges and special tokens."""
+    """T-1 + T-4 + T-7 + P25: vocabulary ids for bytes, merges (learned from pair counts) and special tokens."""
     return TK.build_vocab(spark, _merges(spark, sf))
 
 
@@ -107,7 +107,7 @@ def pieces(spark: SparkSession, sf: str) -> DataFrame:
     body = F.substring(F.col("text"), F.length(title) + 2, 1 << 30)
     second = F.substring_index(body, "\n", 1)
     d = d.select("doc_id", "source", title.alias("title"), body.alias("article"),
-                 F.when(F.length(second) > fixed.MIN_PIECE_SUMMARY_LENGTH, second).alias("summary"))
+                 TX.summary_text(second).alias("summary"))
     d = d.select("doc_id", "source", *[F.col(c).alias(f"t_{c}") for c in ("title", "article", "summary")])
     d = with_computed(d, {"w_domain": word_ids("source"), "w_title": word_ids("t_title"),
                           "w_article": word_ids("t_article"), "w_summary": word_ids("t_summary")})

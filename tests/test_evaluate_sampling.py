@@ -75,3 +75,11 @@ def test_row_index_and_topp_with_a_hot_group(spark):
                                        (F.col("id") % 5 + 1).alias("w"))
     kept = SM.top_p(cands, ["c"], "t", "w", 0.5).groupBy("c").count().collect()
     assert all(r["count"] > 1 for r in kept)
+
+
+def test_shift_targets(spark):
+    df = spark.createDataFrame([([5, 6, 7, 0],)], "input_ids array<int>")
+    r = E.shift_targets(df).first()
+    assert r["inputs"] == [5, 6, 7] and r["targets"] == [6, 7, 0] and r["weights"] == [1, 1, 0]
+    r2 = E.shift_targets(df, extend=True).first()
+    assert r2["inputs"] == [5, 6, 7, 0] and r2["targets"] == [6, 7, 0, 0]

@@ -103,3 +103,17 @@ def test_spelled_date(spark):
     assert one(spark, T.spelled_date("x"), "03-07-2019") == "March 07, 2019"
     assert one(spark, T.mm_dd_yyyy("x"), "2019-03-07 10:00:00") == "03-07-2019"
     assert one(spark, T.mm_dd_yyyy("x"), "not a date") is None
+
+
+def test_piece_text_rules(spark):
+    df = spark.createDataFrame([(["Al", "Bo"], "s" * 51), (["Al"], "s" * 50), (["Jane Roe"], None)],
+                               "a array<string>, s string")
+    out = df.select(T.authors_text("a").alias("a"), T.summary_text("s").alias("s")).collect()
+    assert [(r["a"], r["s"]) for r in out] == [("Al, Bo", "s" * 51), (None, None), ("Jane Roe", None)]
+
+
+def test_split_and_fold_filters(spark):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(["train", "val", "test", "train", "ignore"])],
+                               "line long, split string")
+    assert sorted(r[0] for r in M.keep_splits(df, ["train", "ignore"]).select("line").collect()) == [1, 2]
+    assert sorted(r[0] for r in M.fold_filter(df, "line", 2, 1).select("line").collect()) == [1, 3]
