@@ -441,3 +441,79 @@ def date_valid(spark: SparkSession, sf: str) -> DataFrame:
     o = K.table(spark, sf, "orders").select("o_orderkey", TX.mm_dd_yyyy("o_orderdate").alias("d"), "o_orderpriority")
     return o.select("o_orderkey", TX.valid_date("d").alias("date_ok"),
                     TX.valid_date("o_orderpriority").alias("priority_as_date_ok"))
+
+
+# ------------------------------------------------------------------ tokenizer oracles (DuckDB)
+# Java's (?U)\s is the Unicode White_Space set; RE2 has no look-ahead, so the whitespace branch
+# "\s+(?!\S)" is emulated: a run of two or more followed by a token gives up its last character,
+# which joins the next token when it is a space and stands alone otherwise.
+_WSJ = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_P2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WSJ[1:-1] + r"\p{L}\p{N}]+|" + _WSJ + "+"
+
+
+def _isws(x: str) -> str:
+    return f"regexp_full_match({x}, {S.q(_WSJ + '+')})"
+
+
+def pretokens_sql(src: str, key: str) -> str:
+    """(key, pre list) with the pre-tokens of ``text``."""
+    return f"""(SELECT {key}, flatten(list_transform(range(1, len(toks) + 1), lambda i:
+       CASE WHEN {_isws('toks[i]')} AND i < len(toks) AND length(toks[i]) >= 2 THEN
+              (CASE WHEN right(toks[i], 1) = ' ' THEN [left(toks[i], length(toks[i]) - 1)]
+                    ELSE [left(toks[i], length(toks[i]) - 1), right(toks[i], 1)] END)
+            WHEN i > 1 AND {_isws('toks[i-1]')} AND length(toks[i-1]) >= 2 AND right(toks[i-1], 1) = ' '
+                 AND NOT {_isws('toks[i]')} THEN [' ' || toks[i]]
+            ELSE [toks[i]] END)) AS pre
+      FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), {S.q(_P2)}) AS toks FROM {src}))"""
+
+
+def byte_encode_sql(w: str) -> str:
+    """UTF-8 bytes of ``w`` (from code points) mapped through the byte table."""
+    table = "[" + ", ".join(S.q(c) for c in fixed.byte_table()) + "]"
+    bytes_ = (f"flatten(list_transform(list_transform(string_split({w}, ''), lambda c: unicode(c)), lambda cp: "
+              f"CASE WHEN cp < 128 THEN [cp] WHEN cp < 2048 THEN [192 + cp // 64, 128 + cp % 64] "
+              f"WHEN cp < 65536 THEN [224 + cp // 4096, 128 + (cp // 64) % 64, 128 + cp % 64] "
+              f"ELSE [240 + cp // 262144, 128 + (cp // 4096) % 64, 128 + (cp // 64) % 64, 128 + cp % 64] END))")
+    return f"array_to_string(list_transform({bytes_}, lambda b: {table}[b + 1]), '')"
+
+
+WORDS_SQL = f"""(SELECT w, {byte_encode_sql('w')} AS enc, count(*) AS cnt
+  FROM (SELECT unnest(pre) AS w FROM {pretokens_sql('documents', 'doc_id')}) GROUP BY w)"""
+PAIRS_SQL = f"""(SELECT l AS "left", r AS "right", sum(cnt) AS n FROM (
+    SELECT cnt, string_split(enc, '')[i] AS l, string_split(enc, '')[i + 1] AS r
+    FROM (SELECT enc, cnt, unnest(range(1, length(enc))) AS i FROM {WORDS_SQL})) GROUP BY ALL)"""
+MERGES_SQL = f"""(SELECT (row_number() OVER (ORDER BY n DESC, "left", "right") - 1)::INTEGER AS rank, "left", "right"
+  FROM {PAIRS_SQL} ORDER BY n DESC, "left", "right" LIMIT {N_MERGES})"""
+
+ORACLES["tok_pair_counts"] = f"SELECT * FROM {PAIRS_SQL}"
+
+
+def _vocab_sql() -> str:
+    table = fixed.byte_table()
+    order = TK.byte_order()
+    bytes_rows = ", ".join(f"({S.q(table[b])}, {i + 1})" for i, b in enumerate(order))
+    specials = [fixed.PADDING_TOKEN] + [t for f in fixed.SPECIAL_FIELDS for t in (f"<|begin{f}|>", f"<|endof{f}|>")] \
+        + [fixed.RESET_TOKEN]
+    sp_rows = ", ".join(f"({S.q(t)}, {k})" for k, t in enumerate(specials))
+    return f"""SELECT token, id, starts_with(token, '<|') AND ends_with(token, '|>') AS is_special FROM (
+      SELECT b_tok AS token, b_id::INTEGER AS id FROM (VALUES {bytes_rows}) bv(b_tok, b_id)
+      UNION ALL SELECT "left" || "right", (rank + 257)::INTEGER FROM {MERGES_SQL}
+      UNION ALL SELECT s_tok, (CASE WHEN s_k = 0 THEN 0 ELSE (SELECT count(*) FROM {MERGES_SQL}) + 256 + s_k END)::INTEGER
+      FROM (VALUES {sp_rows}) sv(s_tok, s_k))"""
+
+
+ORACLES["tok_vocab"] = _vocab_sql()
+
+ORACLES["tok_encode"] = f"""
+WITH RECURSIVE m AS {MERGES_SQL},
+w AS (SELECT enc FROM {WORDS_SQL}),
+it(step, enc, s) AS (
+  SELECT 0, enc, enc FROM w
+  UNION ALL
+  SELECT it.step + 1, it.enc, replace(it.s, m."left" || m."right", chr(57344 + it.step))
+  FROM it JOIN m ON m.rank = it.step),
+fin AS (SELECT enc, s FROM it WHERE step = (SELECT count(*) FROM m))
+SELECT doc_id, sum(length(fin.s))::INTEGER AS n_ids FROM (
+  SELECT doc_id, {byte_encode_sql('w')} AS enc FROM (SELECT doc_id, unnest(pre) AS w FROM {pretokens_sql('documents', 'doc_id')})) d
+JOIN fin USING (enc) GROUP BY doc_id
+UNION ALL SELECT doc_id, 0 FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), {S.q(_P2)})) = 0"""
