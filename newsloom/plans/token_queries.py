@@ -383,14 +383,42 @@ def gen_context(spark: SparkSession, sf: str) -> DataFrame:
                       F.array_join("context", " ").alias("context"))
 
 
-@register("gen_generate")
+def _gen_sql(steps: int = 16, top_p: float = 0.95, eos: str = "the", seed: int = 0) -> str:
+    from newsloom.plans.sample_queries import COUNTS
+    u = (f"(('0x' || substr(md5('{seed}' || '|' || 'gen' || CAST(g.step + 1 AS VARCHAR) || '|' || g.prompt_id), 1, 8))::BIGINT"
+         f" / 4294967296.0)")
+    return f"""
+WITH RECURSIVE c AS {COUNTS},
+kept AS (SELECT prev, token, n FROM (
+    SELECT *, row_number() OVER w AS rank, sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+           sum(n) OVER (PARTITION BY prev) AS tot
+    FROM c WINDOW w AS (PARTITION BY prev ORDER BY n DESC, token)) WHERE cum < {top_p} * tot OR rank = 1),
+prompts AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS prompt_id,
+                   coalesce(regexp_extract_all(text, {S.q(WORDS)})[-1], '{MD.BOS}') AS last
+            FROM conversations WHERE role = 'user'),
+gen(step, prompt_id, token) AS (
+  SELECT -1, prompt_id, last FROM prompts
+  UNION ALL
+  SELECT step, prompt_id, token FROM (
+    SELECT step, prompt_id, token, row_number() OVER (PARTITION BY prompt_id ORDER BY n DESC, token) AS r FROM (
+      SELECT g.step + 1 AS step, g.prompt_id, k.token, k.n,
+             sum(k.n) OVER (PARTITION BY g.prompt_id ORDER BY k.n DESC, k.token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+             sum(k.n) OVER (PARTITION BY g.prompt_id) AS tot, {u} AS u
+      FROM gen g JOIN kept k ON k.prev = g.token
+      WHERE g.step < {steps - 1} AND (g.step = -1 OR g.token <> '{eos}'))
+    WHERE cum > u * tot) WHERE r = 1)
+SELECT prompt_id, count(*) AS n_generated, string_agg(token, ' ' ORDER BY step) AS text
+FROM gen WHERE step >= 0 GROUP BY prompt_id"""
+
+
+@register("gen_generate", _gen_sql())
 def gen_generate(spark: SparkSession, sf: str) -> DataFrame:
     """Continue every user turn with the corpus bigram model (top-p 0.95), stopping at
     the end-of-sentence word or after 16 words."""
     train = MD.word_tokens(K.table(spark, sf, "documents"), "text", "doc_id")
     counts = MD.ngram_fit(train)
     p = _prompts(spark, sf)
-    last = F.element_at(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), -1)
+    last = F.try_element_at(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), F.lit(-1))
     prompts = p.select(F.concat_ws(":", "conv_id", "turn").alias("prompt_id"),
                        F.coalesce(last, F.lit(MD.BOS)).alias("last"))
     gen = MD.generate(prompts, counts, "prompt_id", "last", eos="the", max_steps=16)
