@@ -37,8 +37,12 @@ def ngram_fit(tokens: DataFrame, materialize: bool = True) -> DataFrame:
 def ngram_score(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> DataFrame:
     """M1 + J6: gt_logprob (score of the true token, gathered by join) = ln((c(prev, tok) + a) / (c(prev) + a * V)), V = distinct tokens + 1 (unknown)."""
     V = counts.select((F.countDistinct("token") + 1).alias("v")).scalar()
-    ctx = counts.groupBy("prev").agg(F.sum("n").alias("n_ctx"))
-    scored = (tokens.join(counts, ["prev", "token"], "left").join(ctx, "prev", "left")
+    # Cut the model down to what the scored tokens need with left-semi joins (the scored side is the
+    # build side, so a small held-out set is broadcast and the model is streamed, not shuffled).
+    needed = counts.join(tokens.select("prev", "token").distinct(), ["prev", "token"], "left_semi")
+    ctx = (counts.join(tokens.select("prev").distinct(), "prev", "left_semi")
+           .groupBy("prev").agg(F.sum("n").alias("n_ctx")))
+    scored = (tokens.join(needed, ["prev", "token"], "left").join(ctx, "prev", "left")
               .fillna(0, ["n", "n_ctx"]))
     lp = F.log((F.col("n") + F.lit(alpha)) / (F.col("n_ctx") + F.lit(alpha) * V))
     return scored.withColumn("gt_logprob", lp)
@@ -48,9 +52,10 @@ def ngram_predict(tokens: DataFrame, counts: DataFrame, alpha: float = 1.0) -> D
     """M1 + W3: the predictor's per-position outputs: gt_logprob, top_p_required (W3), prediction and its
     log-probability (the best candidate after ``prev``)."""
     scored = ngram_score(tokens, counts, alpha)
-    best = SM.top_k(counts, ["prev"], "token", "n", 1).select(
+    in_ctx = counts.join(tokens.select("prev").distinct(), "prev", "left_semi")   # contexts that are scored
+    best = SM.top_k(in_ctx, ["prev"], "token", "n", 1).select(
         "prev", F.col("token").alias("prediction"), F.col("n").alias("_nbest"))
-    req = SM.mass_above(counts, ["prev"], "n", "top_p_required").select("prev", "token", "top_p_required")
+    req = SM.mass_above(in_ctx, ["prev"], "n", "top_p_required").select("prev", "token", "top_p_required")
     V = counts.select((F.countDistinct("token") + 1).alias("v")).scalar()
     out = (scored.join(best, "prev", "left").join(req, ["prev", "token"], "left")
            .withColumn("pred_logprob", F.log((F.coalesce(F.col("_nbest"), F.lit(0)) + F.lit(alpha))
