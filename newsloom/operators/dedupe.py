@@ -32,6 +32,10 @@ from newsloom.functions import fixed, text as T
 from newsloom.session import cut_lineage
 
 
+# Number of fixpoint rounds of recent calls (diagnostics only; bounded list).
+LAST_ROUNDS: list[int] = []
+
+
 def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     """D3: keep the earliest row of each key (single key)."""
     firsts = df.groupBy(key).agg(F.min(order).alias(order))
@@ -70,6 +74,8 @@ def greedy_dedupe_orders(df: DataFrame, keys: list[str], order: str, checkpoint_
             break
         if max_rounds is not None and rnd >= max_rounds:
             raise RuntimeError(f"greedy_dedupe did not converge in {max_rounds} rounds")
+    LAST_ROUNDS.append(rnd)
+    del LAST_ROUNDS[:-100]
     return reduce(lambda a, b: a.unionByName(b), kept_parts)
 
 
