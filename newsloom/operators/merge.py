@@ -59,9 +59,10 @@ def dump_order_table(spark: SparkSession, dumps: list[str] | None = None,
 
 
 def with_priority(df: DataFrame, order_table: DataFrame, dump: str = "dump") -> DataFrame:
-    """Attach the dump priority.  The order table has one row per dump (a few dozen), a proven
-    bound, so it is broadcast."""
-    return df.join(F.broadcast(order_table.withColumnRenamed("dump", dump)), dump, "inner")
+    """Attach the dump priority.  No hint: the order table has one row per dump, so the planner
+    (statically) or AQE (from its runtime size) broadcasts it, and falls back to a shuffle join if a
+    caller ever passes a large one."""
+    return df.join(order_table.withColumnRenamed("dump", dump), dump, "inner")
 
 
 def merge_corpus(df: DataFrame, order_cols: list[str], url: str = "url", text: str = "text",

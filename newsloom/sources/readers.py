@@ -98,8 +98,9 @@ def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_in
     counts = tagged.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offsets: one row per (group, bucket) -- bounded by groups x buckets.
-    return (local.join(F.broadcast(offsets.select(*groups, "_bk", "_off")), groups + ["_bk"])
+    # offsets: one row per (group, bucket).  Not hinted: with few groups AQE broadcasts it from its
+    # runtime size; with very many groups it stays a shuffle join instead of an oversized broadcast.
+    return (local.join(offsets.select(*groups, "_bk", "_off"), groups + ["_bk"])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_bk", "_local", "_off"))
 
@@ -110,7 +111,7 @@ def read_dumps(spark: SparkSession, paths_by_dump: dict[str, list[str] | str], o
     ``(priority, source_file, block_start, position)``.
 
     One read per dump (file listing stays in Spark's file index), unioned; the dump -> priority
-    table has one row per dump (a proven bound) and is broadcast.  Within a file, lines keep their
+    table has one row per dump, so Spark broadcasts it (no hint).  Within a file, lines keep their
     order: ``input_file_block_start()`` orders the splits of a file and the monotonically increasing
     id orders rows inside one split.
     """
@@ -122,4 +123,4 @@ def read_dumps(spark: SparkSession, paths_by_dump: dict[str, list[str] | str], o
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.join(F.broadcast(order_table), "dump", "inner")
+    return out.join(order_table, "dump", "inner")
