@@ -63,12 +63,16 @@ def read_sequences(spark: SparkSession, path: str, size: int, col: str = "input_
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     """Merge-rank file (first line is a header, trailing blank line ignored) ->
     (rank, left, right).  The file is small (bounded by vocabulary size)."""
-    lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
+    lines = spark.read.text(path).withColumns({"_blk": F.input_file_block_start(),
+                                               "_pos": F.monotonically_increasing_id()})
     body = lines.filter(~F.startswith(F.col("value"), F.lit("#")) & (F.length(F.trim("value")) > 0))
+    # file order = (block start, position in block; < 2^20 lines per block -- a merge file is a
+    # vocabulary); ranks are consecutive line numbers in that order
+    body = body.withColumn("_line", F.col("_blk") * F.lit(1 << 20) + F.col("_pos") % F.lit(1 << 20))
     parts = F.split(F.col("value"), " ", -1)
-    from pyspark.sql import Window
-    return body.select((F.row_number().over(Window.orderBy("_line")) - 1).alias("rank"),
-                       parts.getItem(0).alias("left"), parts.getItem(1).alias("right"))
+    ranked = with_row_index(body, ["_line"], "rank")
+    return ranked.select(F.col("rank").cast("int").alias("rank"), parts.getItem(0).alias("left"),
+                         parts.getItem(1).alias("right"))
 
 
 def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_index",
