@@ -63,3 +63,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``newsloom`` importable in Python workers (``addPyFile`` of a zip of the package), once
+    per SparkContext.  Needed by the Arrow/Pandas stages, whose functions refer to package helpers."""
+    import shutil
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="newsloom-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "newsloom"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="newsloom")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
