@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed, text as T
 from newsloom.operators import dedupe as D, merge as M
 from newsloom.plans import common as K
-from newsloom.plans.token_queries import FOLDED_SQL, L, SEED, SP, _folded, _floyd_sql  # noqa: F401
+from newsloom.plans.token_queries import FOLDED_SQL, L, SEED, _folded, _floyd_sql
 from newsloom.session import checkpoint_dir
 from newsloom.sources import readers as R, writers as W
 from newsloom.operators import sequences as Q
