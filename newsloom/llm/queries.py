@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, near_dedup
+from newsloom.llm import decontaminate, near_dedup, quality_rules
 
-_MODULES = (decontaminate, near_dedup)
+_MODULES = (decontaminate, near_dedup, quality_rules)
 
 
 def registry():
