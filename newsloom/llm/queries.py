@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, near_dedup, quality_rules
+from newsloom.llm import decontaminate, near_dedup, packing, quality_rules, token_counts, token_files
 
-_MODULES = (decontaminate, near_dedup, quality_rules)
+_MODULES = (packing, quality_rules, token_files, decontaminate, token_counts, near_dedup)
 
 
 def registry():
