@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from newsloom.llm import decontaminate, near_dedup, packing, quality_rules, token_counts, token_files
+from newsloom.llm import (decontaminate, license_scan, near_dedup, packing, quality_classifier, quality_rules,
+                          token_counts, token_files)
 
-_MODULES = (packing, quality_rules, token_files, decontaminate, token_counts, near_dedup)
+_MODULES = (packing, quality_classifier, quality_rules, token_files, decontaminate, license_scan, token_counts, near_dedup)
 
 
 def registry():
