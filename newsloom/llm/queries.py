@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from newsloom.llm import (decontaminate, license_scan, near_dedup, packing, quality_classifier, quality_rules,
-                          token_counts, token_files)
+from newsloom.llm import (decontaminate, html_extract, license_scan, lm_score, near_dedup, packing, quality_classifier,
+                          quality_rules, token_counts, token_files)
 
-_MODULES = (packing, quality_classifier, quality_rules, token_files, decontaminate, license_scan, token_counts, near_dedup)
+_MODULES = (packing, quality_classifier, html_extract, quality_rules, token_files, decontaminate, license_scan, lm_score,
+            token_counts, near_dedup)
 
 
 def registry():
