@@ -106,7 +106,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     have no frequent lines.
     """
     m = measured(docs, id_col, text_col, host_col)
-    frequent = frequent_lines(m)
+    return verdicts(m, frequent_lines(m))
+
+
+def verdicts(m: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of ``quality_rules`` from the measured table and the frequent lines."""
     gone = (m.select("row", "host", F.explode("all_lines").alias("l")).select("row", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
             .join(frequent, ["host", "h"]).groupBy("row").agg(F.count("*").alias("n_removed_lines"), F.sum("w").alias("gone")))
     out = m.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -126,7 +130,7 @@ def without_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text",
     keep = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(F.trim(normalised(x)))))
     return (docs.withColumn("_host_key", key).join(lists, F.col("_host_key") == F.col("_host"), "left")
             .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")))
-            .select(*docs.columns))
+            .withColumn("n_chars", F.length(text_col).cast("long")).select(*docs.columns))
 
 
 def op4_quality_rules(spark, sf_dir):
