@@ -135,7 +135,8 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, size: int = SIZE, grain: i
     empty table gives no pieces.  ``size`` must be a multiple of ``grain``.
     """
     spark = docs.sparkSession
-    parts = pieces_of(docs, path, end_id, id_col, text_col, size).withColumn("cls", F.ceil(F.col("length") / grain).cast("int"))
+    # written first: the range shuffle below samples its input, which would tokenize every text twice
+    parts = cut_lineage(pieces_of(docs, path, end_id, id_col, text_col, size).withColumn("cls", F.ceil(F.col("length") / grain).cast("int")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["cls", "doc_id", "start", "ids_crc32"]
     ranked = cut_lineage(parts.repartitionByRange(n, *order).sortWithinPartitions(*order)
