@@ -20,7 +20,7 @@ import re
 _SPACE = "\t-\r \x85\xa0  -     　"
 SPLIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _RARE = re.compile(f"[{_SPACE.replace(' ', '', 1).replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]")
-CACHE = 400_000      # pieces a worker remembers; a full cache is emptied
+CACHE = 600_000      # pieces in a generation of a worker's cache; two generations are kept
 
 
 def mode_of(path: str) -> tuple[str, list[str]]:
@@ -76,13 +76,17 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter(path)
         self.cache: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}      # the generation before: pieces used again move on
 
     def encode(self, texts: list[str]) -> list[bytes]:
         keys = [self.splitter.keys(t) for t in texts]
-        new = list(set().union(*(k for k, _ in keys)).difference(self.cache)) if keys else []
-        if len(self.cache) + len(new) > CACHE and self.cache:
-            self.cache.clear()
-            new = list(set().union(*(k for k, _ in keys)))
+        wanted = set().union(*(k for k, _ in keys))
+        if len(self.cache) > CACHE:
+            self.before, self.cache = self.cache, {}
+        wanted.difference_update(self.cache)
+        again = wanted.intersection(self.before)
+        self.cache.update(zip(again, map(self.before.__getitem__, again)))
+        new = list(wanted.difference(again))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
             got = self.tokenizer.encode_batch_fast([self.splitter.text_of(x) for x in part], add_special_tokens=False)
