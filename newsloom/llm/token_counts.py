@@ -2,8 +2,8 @@
 
 1. every task tallies its pre-tokens and sends (pre-token, occurrences) sums; one row per distinct pre-token
    remains, its pieces are counted by the tokenizer library and the table is written (no ids are kept);
-2. the HEAD most frequent pre-tokens and their counts are broadcast (a fixed number of rows): they settle most
-   occurrences while a document is tallied.  The other (document, pre-token, frequency) rows join the table by a
+2. the pre-tokens that make up at least 1 / HEAD of all occurrences (so there are at most HEAD of them) are broadcast
+   with their counts: they settle most occurrences while a document is tallied.  The other (document, pre-token, frequency) rows join the table by a
    shuffle; no pre-token in them is frequent, so no key is hot;
 3. both parts are summed per document.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import batch, cut_lineage, id_and_text, map_arrow, pylist, slices, table
 from newsloom.llm.tokens import Splitter, n_pieces
 
-HEAD = 250_000         # pre-tokens broadcast with their counts
+HEAD = 2_000_000       # pre-tokens with this share of all occurrences are broadcast
 TALLY = 300_000        # pre-tokens a task tallies before it sends sums
 LIMIT = 512
 
@@ -60,7 +60,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     data = id_and_text(docs, id_col, text_col)
     pieces = cut_lineage(pretoken_counts(data, path))
-    top = pieces.orderBy(F.desc("n"), "piece").limit(head).select("piece", "tokens")
+    total = pieces.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top = pieces.where(F.col("n") * head >= total).select("piece", "tokens")
     known = spark.sparkContext.broadcast(dict(map(tuple, top.collect())))
     kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("part", pa.int64()),
                       ("piece", pa.list_(pa.string())), ("n", pa.list_(pa.int32()))])
