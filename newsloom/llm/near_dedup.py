@@ -35,7 +35,7 @@ REGISTERS = 128
 BAND_ROWS = 4               # registers of 16 bits in one 64-bit band key
 BASE, RATE = 1.001, 20.0    # register base b and rate a of the exponential hashes
 TOP = 65535                 # largest register value (16 bits)
-MARGIN = 0.25               # an estimate this far below the threshold (over 5 standard errors) drops a link
+MARGIN = 0.2                # an estimate this far below the threshold (over 5 standard errors) drops a link
 TILE = 256                  # members on each side of a tile in the complete comparison
 
 _RNG = np.random.default_rng(20240601)
@@ -92,7 +92,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     num, den = THRESHOLD
     if den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return den * both >= num * (len(a) + len(b) - both)
 
 
@@ -170,34 +170,40 @@ def star_links(classes: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFra
     return map_arrow(full.select("a", "b", "x", "y"), confirmed, "a long, b long")
 
 
-def tile_links(left: list[int], right: list[int], comp: dict[int, int], size: dict[int, int],
-               sketch: dict[int, np.ndarray], sets: dict[int, np.ndarray], inner: bool) -> list[tuple[int, int]]:
-    """Spanning forest of the confirmed links between two lists of members (one list, if inner)."""
+def tile_links(left: list[int], right: list[int], comp: dict[int, int], size: dict[int, int], sketch: dict[int, np.ndarray],
+               sets: dict[int, np.ndarray], inner: bool, band: int | None = None) -> list[tuple[int, int]]:
+    """Spanning forest of the confirmed links between two lists of members (one list, if inner).  With ``band``, a pair
+    is compared only in the first band that it shares, so each pair is compared once over all buckets."""
     num, den = THRESHOLD
-    parent = {c: c for c in {comp[i] for i in (*left, *right)}}
-
-    def find(c):
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
+    least = num / den - MARGIN
+    labels = {c: k for k, c in enumerate(sorted({comp[i] for i in (*left, *right)}))}
+    own = np.array([labels[comp[i]] for i in left])
+    theirs = own if inner else np.array([labels[comp[j]] for j in right])      # one array, if inner: merged together
     rows = np.array([sketch[j] for j in right])
     sizes = np.array([size[j] for j in right], float)
     found = []
     for k, i in enumerate(left):
-        others = np.arange(k + 1, len(right)) if inner else np.arange(len(right))
         n = float(size[i])
-        others = others[(den * np.minimum(sizes[others], n) >= num * np.maximum(sizes[others], n))]
-        others = others[[find(comp[right[o]]) != find(comp[i]) for o in others]] if len(others) else others
+        open_ = (theirs != own[k]) & (den * np.minimum(sizes, n) >= num * np.maximum(sizes, n))
+        if inner:
+            open_[:k + 1] = False
+        others = np.flatnonzero(open_)
+        if not len(others):
+            continue
+        equal = rows[others] == sketch[i]
+        likely = equal.sum(axis=1) >= least * REGISTERS
+        if band is not None:
+            likely &= equal.reshape(len(others), -1, BAND_ROWS).all(axis=2).argmax(axis=1) == band
+        others = others[likely]
         if not len(others):
             continue
         j = estimate(np.broadcast_to(sketch[i], (len(others), REGISTERS)), rows[others], np.full(len(others), n), sizes[others])
-        for o in others[np.argsort(-j, kind="stable")][:int((j >= num / den - MARGIN).sum())]:
-            other = right[o]
-            if find(comp[i]) != find(comp[other]) and similar(sets[i], sets[other]):
-                parent[find(comp[i])] = find(comp[other])
-                found.append((i, other))
+        for o in others[np.argsort(-j, kind="stable")][:int((j >= least).sum())]:
+            if theirs[o] != own[k] and similar(sets[i], sets[right[o]]):
+                gone, stays = theirs[o], own[k]
+                own[own == gone] = stays
+                theirs[theirs == gone] = stays
+                found.append((i, right[o]))
     return found
 
 
@@ -226,7 +232,7 @@ def rest_links(buckets: DataFrame, comp: DataFrame, classes: DataFrame, sets: Da
         p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
         left = sorted(pdf.loc[pdf["blk"] == p, "rep"].tolist())
         right = sorted(pdf.loc[pdf["blk"] == q, "rep"].tolist())
-        return pd.DataFrame(tile_links(left, right, comp_, size, sketch, own, p == q), columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(tile_links(left, right, comp_, size, sketch, own, p == q, int(pdf["band"].iloc[0])), columns=["a", "b"]).astype("int64")
 
     ship_package(buckets.sparkSession)
     return full.groupBy("band", "key", "p", "q").applyInPandas(tile, "a long, b long")
