@@ -92,13 +92,16 @@ def generate(prompts: DataFrame, counts: DataFrame, prompt_id: str, last: str, e
              checkpoint_every: int = 8) -> DataFrame:
     """Draw tokens for every prompt at once until each row has produced ``eos`` or
     ``max_steps`` tokens.  Each step is one equi-join of the live rows with the nucleus-filtered
-    bigram table and one draw; finished rows leave the loop."""
+    bigram table and one draw; finished rows leave the loop.  A word that is no context of the model
+    backs off to the beginning-of-text context, so every prompt is continued."""
     kept = SM.top_p(counts, ["prev"], "token", "n", top_p, banned=banned).select("prev", "token", "n")
     kept = cut_lineage(kept)
+    contexts = kept.select(F.col("prev").alias("_known")).distinct()
     live = prompts.select(prompt_id, F.col(last).alias("prev")).withColumn("step", F.lit(0))
     out_parts = []
     for step in range(max_steps):
-        cand = live.join(kept, "prev")
+        known = live.join(contexts, live["prev"] == contexts["_known"], "left")
+        cand = known.withColumn("prev", F.coalesce("_known", F.lit(BOS))).drop("_known").join(kept, "prev")
         drawn = SM.draw(cand, [prompt_id], "token", "n", seed, salt=f"gen{step}")
         drawn = drawn.select(prompt_id, F.lit(step).alias("step"), "token")
         if (step + 1) % checkpoint_every == 0:

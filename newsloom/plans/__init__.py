@@ -1,19 +1,13 @@
-"""Registered queries: ``registry()`` -> {name: (spark_fn, oracle_sql or None)}."""
+"""Registered queries: ``registry()`` -> ({name: spark_fn}, {name: oracle_sql})."""
 
 from __future__ import annotations
 
 
 def registry():
-    from newsloom.plans import corpus_queries
-    mods = [corpus_queries]
-    for extra in ("eval_queries", "token_queries", "sample_queries", "stream_queries", "io_queries"):
-        try:
-            mods.append(__import__(f"newsloom.plans.{extra}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError as e:
-            if e.name != f"newsloom.plans.{extra}":
-                raise
+    from newsloom.plans import (corpus_queries, eval_queries, io_queries, sample_queries, stream_queries,
+                                token_queries)
     queries, oracles = {}, {}
-    for m in mods:
+    for m in (corpus_queries, eval_queries, token_queries, sample_queries, stream_queries, io_queries):
         queries.update(m.QUERIES)
         oracles.update(m.ORACLES)
     return queries, oracles

@@ -240,7 +240,7 @@ lw AS (SELECT fold, split, inst_index, (gs - 1) AS sub_index,
          CASE WHEN len(input_ids) <= {L + 1} THEN list_concat(input_ids, list_transform(range({L + 1} - len(input_ids)), lambda x: 0))
               ELSE input_ids[starts[gs] + 1 : starts[gs] + {L + 1}] END AS ids
        FROM (SELECT *, generate_subscripts(starts, 1) AS gs FROM (
-             SELECT *, CASE WHEN len(input_ids) <= {L + 1} THEN [0] ELSE {_floyd_sql('len(input_ids)', L + 1, 'inst_index', SEED)} END AS starts
+             SELECT *, CASE WHEN len(input_ids) <= {L + 1} THEN [0] ELSE {_floyd_sql('len(input_ids)', L + 1, "(fold || '|' || inst_index)", SEED)} END AS starts
              FROM f WHERE len(input_ids) > 0 AND (split = 'val' OR len(input_ids) >= {L + 1})))),
 sh AS (SELECT fold, split, inst_index, 0 AS sub_index,
          list_concat(input_ids, list_transform(range({L + 1} - len(input_ids)), lambda x: 0)) AS ids
@@ -404,7 +404,8 @@ gen(step, prompt_id, token) AS (
       SELECT g.step + 1 AS step, g.prompt_id, k.token, k.n,
              sum(k.n) OVER (PARTITION BY g.prompt_id ORDER BY k.n DESC, k.token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
              sum(k.n) OVER (PARTITION BY g.prompt_id) AS tot, {u} AS u
-      FROM gen g JOIN kept k ON k.prev = g.token
+      FROM gen g LEFT JOIN (SELECT DISTINCT prev FROM kept) x ON x.prev = g.token
+           JOIN kept k ON k.prev = coalesce(x.prev, '{MD.BOS}')
       WHERE g.step < {steps - 1} AND (g.step = -1 OR g.token <> '{eos}'))
     WHERE cum > u * tot) WHERE r = 1)
 SELECT prompt_id, count(*) AS n_generated, string_agg(token, ' ' ORDER BY step) AS text

@@ -63,50 +63,43 @@ def read_sequences(spark: SparkSession, path: str, size: int, col: str = "input_
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
     """Merge-rank file (first line is a header, trailing blank line ignored) ->
     (rank, left, right).  The file is small (bounded by vocabulary size)."""
-    lines = spark.read.text(path).withColumns({"_blk": F.input_file_block_start(),
-                                               "_pos": F.monotonically_increasing_id()})
-    body = lines.filter(~F.startswith(F.col("value"), F.lit("#")) & (F.length(F.trim("value")) > 0))
-    # file order = (block start, position in block; < 2^20 lines per block -- a merge file is a
-    # vocabulary); ranks are consecutive line numbers in that order
-    body = body.withColumn("_line", F.col("_blk") * F.lit(1 << 20) + F.col("_pos") % F.lit(1 << 20))
+    lines = spark.read.text(path).withColumns({"_blk": F.input_file_block_start(), "_pos": F.monotonically_increasing_id()})
+    # file order = (block start, position in the block); only line 0, the header, is dropped -- merges may begin with '#'
+    numbered = with_row_index(lines, ["_blk", "_pos"], "line")
     parts = F.split(F.col("value"), " ", -1)
-    ranked = with_row_index(body, ["_line"], "rank")
-    return ranked.select(F.col("rank").cast("int").alias("rank"), parts.getItem(0).alias("left"),
-                         parts.getItem(1).alias("right"))
+    return (numbered.where((F.col("line") > 0) & (F.length(F.trim("value")) > 0))
+            .select((F.col("line") - 1).cast("int").alias("rank"), parts.getItem(0).alias("left"), parts.getItem(1).alias("right")))
 
 
 def with_row_index(df: DataFrame, order_by: list[str] | str, name: str = "row_index",
                    partition_by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Consecutive 0-based index in ``order_by`` order (restarting per ``partition_by`` group)
-    without a single-partition window and without one task per group.
-
-    The order key is cut into ``buckets`` ranges at approximate quantiles (only the bucket
-    boundaries reach the driver).  Rows are numbered inside each (group, bucket) by a window --
-    each bucket is a slice of the data, so a hot group is spread over many tasks -- and the
-    per-(group, bucket) counts, one small row each, are prefix-summed and broadcast back.  The
-    bucket is a function of the row's own key, so the result is the same on any partitioning,
-    on retry and after executor loss.  ``order_by``: one numeric column, unique within a group.
+    """Consecutive 0-based index in ``order_by`` order (all columns, any sortable type; restarting per
+    ``partition_by`` group) without a single-partition window over the rows and without one task per group.
+
+    The input is written once, then range-partitioned by (group, order) and sorted, and the sorted rows are written
+    with their (partition, place) -- so retries and lost executors cannot change a place that was counted.  Every
+    (group, partition) run has one row of count and offset; the index is the run's offset plus the place in the run.
+    Plans don't grow with the number of partitions (``buckets``, by default ``spark.sql.shuffle.partitions``).
+    Rows that tie in every order column get distinct indices in the written order.
     """
     from pyspark.sql import Window
-    order = order_by[0] if isinstance(order_by, (list, tuple)) else order_by
+
+    from newsloom.session import cut_lineage
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
     groups = list(partition_by or [])
-    spark = df.sparkSession
-    b = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    bounds = sorted(set(df.approxQuantile(order, [i / b for i in range(1, b)], 0.001))) if b > 1 else []
-    bucket = F.lit(0)
-    for i, v in enumerate(bounds):
-        bucket = F.when(F.col(order) > F.lit(v), F.lit(i + 1)).otherwise(bucket)
-    tagged = df.withColumn("_bk", bucket)
-    local = tagged.withColumn("_local", F.row_number().over(
-        Window.partitionBy(*groups, "_bk").orderBy(order)) - 1)
-    counts = tagged.groupBy(*groups, "_bk").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
-        Window.partitionBy(*groups).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offsets: one row per (group, bucket).  Not hinted: with few groups AQE broadcasts it from its
-    # runtime size; with very many groups it stays a shuffle join instead of an oversized broadcast.
-    return (local.join(offsets.select(*groups, "_bk", "_off"), groups + ["_bk"])
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_bk", "_local", "_off"))
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # written first: choosing the ranges samples the input, which would compute it twice
+    placed = cut_lineage(cut_lineage(df).repartitionByRange(n, *groups, *order).sortWithinPartitions(*groups, *order)
+                         .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    runs = placed.groupBy("_part", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = runs.select(F.col("_part").alias("_p"), *[F.col(g).alias(f"_g{k}") for k, g in enumerate(groups)],
+                          (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return (placed.join(offsets, same).withColumn(name, (F.col("_off") + F.col("_at")).cast("long"))
+            .drop("_at", "_part", "_p", "_off", *[f"_g{k}" for k in range(len(groups))]))
 
 
 def read_dumps(spark: SparkSession, paths_by_dump: dict[str, list[str] | str], order_table: DataFrame,

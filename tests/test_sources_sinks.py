@@ -52,6 +52,24 @@ def test_merges_file_reader(spark):
     assert [(r["rank"], r["left"], r["right"]) for r in m] == [(0, "t", "h"), (1, "Ġ", "t"), (2, "th", "e")]
 
 
+def test_merges_that_begin_with_a_hash_are_kept(spark):
+    d = scratch()
+    spark.createDataFrame([("#version: 0.2\na b\n# #\n## ##\nc d\n",)], "v string").coalesce(1).write.text(f"{d}/m")
+    m = R.read_merges(spark, f"{d}/m").orderBy("rank").collect()
+    assert [(r["rank"], r["left"], r["right"]) for r in m] == [(0, "a", "b"), (1, "#", "#"), (2, "##", "##"), (3, "c", "d")]
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 600])
+def test_row_index_orders_by_all_columns(spark, partitions):
+    rows = [(g, o, s) for g in (None, "x", "y") for o in (0, 1, None) for s in "cab"]
+    df = spark.createDataFrame(rows, "g string, o int, s string").repartition(5)
+    got = R.with_row_index(df, ["o", "s"], "i", partition_by=["g"], buckets=partitions).collect()
+    key = lambda r: (r["o"] is not None, r["o"] or 0, r["s"])
+    for g in (None, "x", "y"):
+        mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["i"])
+        assert [r["i"] for r in mine] == list(range(9)) and mine == sorted(mine, key=key)
+
+
 def test_scores_sink_downcast(spark):
     d = scratch()
     df = spark.createDataFrame([(0, -1.25, 3)], "raw_index long, gt_logprob double, prediction long")
