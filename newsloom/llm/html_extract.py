@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch, map_arrow, pylist, table
+from newsloom.llm.common import batch, cut_lineage, map_arrow, pylist, table
 
 MIN_PAGES = 3
 SUPPORT = 0.9
@@ -191,7 +191,7 @@ def templates(data: DataFrame) -> DataFrame:
     vectors = (map_arrow(data, run, "host string, token long, kind int, pages long, total long, vector long")
                .groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector")))
     # tokens on fewer pages than any support needs are dropped before the classes are formed
-    often = vectors.where((F.col("pages") >= MIN_PAGES) & ((F.col("kind") != 3) | (F.col("pages") >= RUN_MIN_PAGES)))
+    often = cut_lineage(vectors.where((F.col("pages") >= MIN_PAGES) & ((F.col("kind") != 3) | (F.col("pages") >= RUN_MIN_PAGES))))
     sizes = often.where("kind = 0").select("host", F.col("pages").alias("host_pages"))
     placed = often.where("kind > 0").join(sizes, "host").where(F.col("pages") >= F.when(F.col("kind") == 3, RUN_SUPPORT).otherwise(SUPPORT) * F.col("host_pages"))
     classes = placed.groupBy("host", "pages", "vector").agg(
@@ -231,7 +231,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                         host_of(F.col(url_col).cast("string")).alias("host"),
                         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("data"))
     marked = data.select("host", "data", F.xxhash64("page_id", "url").alias("row"))
-    joined = data.join(templates(marked), "host", "left")
+    # written, so that the planner knows the size of the templates: it broadcasts a small table and then leaves the pages
+    # where they are, and joins by a shuffle (with skewed hosts split) otherwise
+    joined = data.join(cut_lineage(templates(marked)), "host", "left")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
