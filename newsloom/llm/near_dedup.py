@@ -10,9 +10,10 @@ rate A: the sketch of a union is the register-wise maximum, and equal registers
 3. star: in each bucket the class that shares most buckets is the hub; every other member is linked to the hubs
    of its buckets only (no pairs within a bucket), the joint likelihood estimate of the similarity drops
    hopeless links, and the full sets confirm the rest;
-4. rest: buckets whose members are still in different components are compared completely, in tiles of at most
-   2 x TILE members (so a bucket of any size is spread over many tasks), again by likelihood and then full sets;
-   a tile returns a spanning forest of its confirmed links, never all pairs;
+4. rest: in buckets whose members are still in different components, the members outside the bucket's largest
+   component are compared with all members, in tiles of at most 2 x TILE of them (so a bucket of any size is spread
+   over many tasks), again by likelihood and then full sets; members of the largest component are linked already and
+   need no comparison with each other; a tile returns a spanning forest of its confirmed links, never all pairs;
 5. components: alternating large-star / small-star rounds on the confirmed links, each round written to the
    shared checkpoint folder.
 """
@@ -211,13 +212,18 @@ def rest_links(buckets: DataFrame, comp: DataFrame, classes: DataFrame, sets: Da
     """Confirmed links between different components inside the buckets that hold several, by tiles."""
     placed = buckets.join(comp, F.col("rep") == F.col("node"), "left").select(
         "band", "key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo < hi")
-    # a bucket is described by its members: the same member list in several bands is compared once
-    members = placed.join(open_.select("band", "key", "c"), ["band", "key"])
-    blocks = F.ceil(F.col("c") / TILE).cast("int")
-    dealt = (members.withColumn("blocks", blocks)
-             .withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # per bucket its largest component (main) and how many members lie in it and outside of it
+    parts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
+    open_ = (parts.groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("c"))
+             .select("band", "key", F.col("main.root").alias("main"), F.col("main.c").alias("inside"), (F.col("c") - F.col("main.c")).alias("outside"))
+             .where("outside > 0"))
+    # blocks 0 .. mb - 1 hold the members outside, the next mg blocks those inside; an outside block meets every block
+    members = (placed.join(open_, ["band", "key"]).withColumn("mb", F.ceil(F.col("outside") / TILE).cast("int"))
+               .withColumn("mg", F.ceil(F.col("inside") / TILE).cast("int")))
+    inside, mixed = F.col("root") == F.col("main"), F.xxhash64("rep")
+    dealt = (members
+             .withColumn("blk", F.when(inside, F.col("mb") + F.pmod(mixed, F.col("mg"))).otherwise(F.pmod(mixed, F.col("mb"))).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("mb") - 1 + F.when(inside, 0).otherwise(F.col("mg")))))
              .select("band", "key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "root"))
     full = dealt.join(classes.select("rep", "n", "sketch"), "rep").join(sets, "rep")
 

@@ -37,11 +37,15 @@ def near_fixture():
         edited[2 * n] = edited[2 * n + 1 if n else 0] = f"v{n}"
         edited[(2 * n + 60) % 120] = f"u{n}"
         rows.append((k + n, " ".join(edited)))
+    chain = words(rng, 300)
+    rows += [(600 + n, " ".join(chain[5 * n:5 * n + 60])) for n in range(48)]      # each resembles its neighbours only
     rows += [(500, " ".join(hub)), (501, " ".join(hub)), (501, " ".join(hub)), (502, " ".join(words(rng, 9000, 10**6)))]
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [near_dedup.TILE, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(near_dedup, "TILE", tile)
     rows = near_fixture()
     sets = {}
     for i, t in rows:
