@@ -10,7 +10,7 @@ rate A: the sketch of a union is the register-wise maximum, and equal registers
 3. star: in each bucket the class that shares most buckets is the hub; every other member is linked to the hubs
    of its buckets only (no pairs within a bucket), the joint likelihood estimate of the similarity drops
    hopeless links, and the full sets confirm the rest;
-4. rest: in buckets whose members are still in different components, the members outside the bucket's largest
+4. rest: in buckets whose members but the hub are still in different components, the members outside the bucket's largest
    component are compared with all members, in tiles of at most 2 x TILE of them (so a bucket of any size is spread
    over many tasks), again by likelihood and then full sets; members of the largest component are linked already and
    need no comparison with each other; a tile returns a spanning forest of its confirmed links, never all pairs;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import (batch, cut_lineage, id_and_text, map_arrow, mix64, pylist, ship_package,
+from newsloom.llm.common import (batch, cut_lineage, id_and_text, map_arrow, pylist,
                                  slices, space_words, table, window_hashes, word_hashes)
 
 WORDS = 5
@@ -208,10 +208,11 @@ def tile_links(left: list[int], right: list[int], comp: dict[int, int], size: di
     return found
 
 
-def rest_links(buckets: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Confirmed links between different components inside the buckets that hold several, by tiles."""
-    placed = buckets.join(comp, F.col("rep") == F.col("node"), "left").select(
-        "band", "key", "rep", F.coalesce("root", "rep").alias("root"))
+def rest_links(buckets: DataFrame, hubs: DataFrame, comp: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links between different components inside the buckets that hold several, by tiles.  A bucket's hub was
+    compared with all its members before and takes no part here."""
+    placed = (buckets.join(hubs, ["band", "key"]).where("rep <> hub").join(comp, F.col("rep") == F.col("node"), "left")
+              .select("band", "key", "rep", F.coalesce("root", "rep").alias("root")))
     # per bucket its largest component (main) and how many members lie in it and outside of it
     parts = placed.groupBy("band", "key", "root").agg(F.count("*").alias("c"))
     open_ = (parts.groupBy("band", "key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("c"))
@@ -227,21 +228,36 @@ def rest_links(buckets: DataFrame, comp: DataFrame, classes: DataFrame, sets: Da
              .select("band", "key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), "blk", "rep", "root"))
     full = dealt.join(classes.select("rep", "n", "sketch"), "rep").join(sets, "rep")
 
-    def tile(pdf):
-        import pandas as pd
-        pdf = pdf.drop_duplicates("rep")
-        ids = pdf["rep"].tolist()
-        comp_ = dict(zip(ids, pdf["root"].tolist()))
-        size = dict(zip(ids, pdf["n"].tolist()))
-        sketch = {i: np.frombuffer(s, np.uint16) for i, s in zip(ids, pdf["sketch"])}
-        own = {i: np.frombuffer(s, np.uint64) for i, s in zip(ids, pdf["set"])}
-        p, q = int(pdf["p"].iloc[0]), int(pdf["q"].iloc[0])
-        left = sorted(pdf.loc[pdf["blk"] == p, "rep"].tolist())
-        right = sorted(pdf.loc[pdf["blk"] == q, "rep"].tolist())
-        return pd.DataFrame(tile_links(left, right, comp_, size, sketch, own, p == q, int(pdf["band"].iloc[0])), columns=["a", "b"]).astype("int64")
+    kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def tile(rows: pa.Table) -> list[tuple[int, int]]:
+        ids, blk = rows["rep"].to_pylist(), rows["blk"].to_pylist()
+        band, p, q = (rows[c][0].as_py() for c in ("band", "p", "q"))
+        left, right = (sorted({i for i, at in zip(ids, blk) if at == side}) for side in (p, q))
+        return tile_links(left, right, dict(zip(ids, rows["root"].to_pylist())), dict(zip(ids, rows["n"].to_pylist())),
+                          {i: np.frombuffer(x, np.uint16) for i, x in zip(ids, rows["sketch"].to_pylist())},
+                          {i: np.frombuffer(x.as_buffer(), np.uint64) for i, x in zip(ids, rows["set"])}, p == q, band)
 
-    ship_package(buckets.sparkSession)
-    return full.groupBy("band", "key", "p", "q").applyInPandas(tile, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted rows, so a tile's rows follow each other; the last tile of a batch may go on in the next batch
+        held = None
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            if not rows.num_rows:
+                continue
+            keys = [rows[c].to_numpy() for c in ("band", "key", "p", "q")]
+            starts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+            found = [x for lo, hi in zip(starts, starts[1:]) for x in tile(rows.slice(lo, hi - lo))]
+            held = rows.slice(starts[-1])
+            yield batch(kind, {"a": [x for x, _ in found], "b": [y for _, y in found]})
+        if held is not None:
+            found = tile(held)
+            yield batch(kind, {"a": [x for x, _ in found], "b": [y for _, y in found]})
+
+    keys = ["band", "key", "p", "q"]
+    return map_arrow(full.select(*keys, "blk", "rep", "root", "n", "sketch", "set").repartition(*keys).sortWithinPartitions(*keys),
+                     run, "a long, b long")
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -292,15 +308,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = bands.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = cut_lineage(bands.join(several, ["band", "key"]))
     degree = buckets.groupBy("rep").agg(F.sum("c").alias("degree"))
-    hubs = (buckets.join(degree, "rep").groupBy("band", "key")
-            .agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h"))
-            .select("band", "key", (-F.col("h.r")).alias("hub")))
+    hubs = cut_lineage(buckets.join(degree, "rep").groupBy("band", "key")
+                       .agg(F.max(F.struct("degree", (-F.col("rep")).alias("r"))).alias("h"))
+                       .select("band", "key", (-F.col("h.r")).alias("hub")))
     pairs = (buckets.join(hubs, ["band", "key"]).where("rep <> hub")
              .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct())
     sets = cut_lineage(shingle_sets(docs, degree.select("rep"), id_col, text_col).join(
         classes.select("rep", "set_hash"), "rep").groupBy("rep").agg(F.first("set").alias("set")))
     links = cut_lineage(star_links(classes, pairs, sets))
-    rest = rest_links(buckets, components(links), classes, sets)
+    rest = rest_links(buckets, hubs, components(links), classes, sets)
     roots = components(links.union(rest))
     # smallest id per set: a document whose id also names another class joins through its own class
     of_set = (classes.join(roots, F.col("rep") == F.col("node"), "left")
