@@ -5,7 +5,7 @@ tokens; the histogram of classes (at most size / GRAIN rows) is all that reaches
 
 * the linear program "fewest sequences that hold every class's pieces" is solved by the revised simplex method over
   patterns (how many pieces of each class share a sequence); a knapsack dynamic program over the duals prices the
-  next pattern, and it ends when none has a reduced cost;
+  next pattern, and it ends when a lower bound of the program's value is reached;
 * pattern counts are rounded down and the few pieces left over are packed largest first;
 * pieces are ranked within their class by one range shuffle, and a pattern's share of each class is a range of ranks,
   so every piece finds its sequence from its rank alone; offsets are a running sum within a sequence.
@@ -26,43 +26,66 @@ from newsloom.llm.tokens import encoder
 
 SIZE = 2048
 GRAIN = 8            # tokens in a length class
-ENOUGH = 1e-4        # a pattern priced below 1 + this ends the column generation
+ENOUGH = 1e-4        # the column generation ends this close to the linear program's value
 ROUNDS = 20_000
 
 
 def best_pattern(value: np.ndarray, weight: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: best total value of items within ``room``, and their counts."""
+    """Unbounded knapsack by dynamic programming: best total value of items (of distinct weights) within ``room``,
+    and their counts."""
+    of = np.full(room + 1, -np.inf)
+    of[weight] = value
     best = np.zeros(room + 1)
-    taken = np.full(room + 1, -1)
+    taken = np.zeros(room + 1, np.int64)      # weight of the item that fills a space up, 0: a unit is left empty
     for space in range(1, room + 1):
+        gain = of[1:space + 1] + best[space - 1::-1] if space > 1 else of[1:2] + best[:1]
+        k = int(gain.argmax())
         best[space] = best[space - 1]
-        fits = weight <= space
-        if fits.any():
-            gain = np.where(fits, value + best[np.maximum(space - weight, 0)], -1.0)
-            k = int(gain.argmax())
-            if gain[k] > best[space] + 1e-12:
-                best[space], taken[space] = gain[k], k
+        if gain[k] > best[space] + 1e-12:
+            best[space], taken[space] = gain[k], k + 1
+    number = {int(w): k for k, w in enumerate(weight)}
     count, space = np.zeros(len(value), np.int64), room
     while space > 0:
-        k = taken[space]
-        if k < 0:
-            space -= 1
-        else:
-            count[k] += 1
-            space -= weight[k]
+        if taken[space]:
+            count[number[int(taken[space])]] += 1
+        space -= max(1, int(taken[space]))
     return float(best[room]), count
 
 
+def first_basis(weight: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and how often each is used, by filling sequences with the largest pieces left: every pattern
+    uses up a class that no later one holds, so the columns are independent and none is used less than 0 times."""
+    n = len(weight)
+    left, patterns, level = demand.astype(float), np.zeros((n, n)), np.zeros(n)
+    open_ = np.ones(n, bool)
+    while open_.any():
+        count, space = np.zeros(n), room
+        for k in np.flatnonzero(open_):
+            count[k] = min(space // weight[k], max(1, int(left[k])))
+            space -= int(count[k]) * int(weight[k])
+        ratio = np.full(n, np.inf)
+        ratio[count > 0] = left[count > 0] / count[count > 0]
+        out = int(ratio.argmin())
+        patterns[:, out], level[out], open_[out] = count, ratio[out], False
+        left = np.maximum(left - count * ratio[out], 0)
+    return patterns, level
+
+
 def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
-    """Basic patterns (pieces per class) of the linear program and how often each is used."""
+    """Basic patterns (pieces per class) of the linear program and how often each is used; ``weight`` descends.
+
+    The number of sequences is at least demand * weight / room, and at least the program's present value divided by the
+    best pattern's price; it ends when the present value is within ENOUGH of the larger of these bounds.
+    """
     n = len(weight)
-    patterns = np.diag(room // weight).astype(float)          # columns: one class only
-    inverse = np.diag(1.0 / (room // weight))
-    level = inverse @ demand
+    patterns, level = first_basis(weight, demand, room)
+    inverse = np.linalg.inv(patterns)
+    least = float(demand @ weight) / room
     for _ in range(ROUNDS):
-        dual = inverse.sum(axis=0)
-        value, count = best_pattern(np.maximum(dual, 0), weight, room)
-        if value <= 1 + ENOUGH:
+        dual = np.maximum(inverse.sum(axis=0), 0)
+        value, count = best_pattern(dual, weight, room)
+        least = max(least, float(dual @ demand) / value)
+        if level.sum() <= (1 + ENOUGH) * least:
             break
         step = inverse @ count
         up = step > 1e-9
