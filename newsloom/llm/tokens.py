@@ -16,10 +16,13 @@ import array
 import json
 import re
 
+import numpy as np
+
 # white space of the library's patterns (Unicode White_Space)
 _SPACE = "\t-\r \x85\xa0  -     　"
 SPLIT = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _RARE = re.compile(f"[{_SPACE.replace(' ', '', 1).replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + '-' + chr(13))}]")
+JOINED = 64          # pieces encoded in one call, an added token between them
 CACHE = 600_000      # pieces in a generation of a worker's cache; two generations are kept
 
 
@@ -41,6 +44,24 @@ def mode_of(path: str) -> tuple[str, list[str]]:
     return "whole", added
 
 
+def border(path: str) -> str | None:
+    """A special token to stand between pieces: the library cuts it out before anything else, so the ids of what lies
+    between two of them are those of the piece alone.  None if every token overlaps itself or another."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = spec.get("added_tokens") or []
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in tokens):
+        return None
+    strings = [t["content"] for t in tokens]
+    for t in tokens:
+        own = t["content"]
+        if t.get("special") and (not t.get("normalized") or not spec.get("normalizer")) and not any(
+                x != own and (x in own or own in x) or any(x.endswith(own[:k]) or own.endswith(x[:k]) for k in range(1, min(len(x), len(own))))
+                for x in strings):
+            return own
+    return None
+
+
 class Splitter:
     """``keys(text)``: the text's pieces as cache keys, and how many leading ids to drop."""
 
@@ -75,9 +96,30 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.splitter = Splitter(path)
+        self.border = border(path)
         self.cache: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}      # the generation before: pieces used again move on
 
+    def batch(self, texts: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array.array("I", e.ids).tobytes() for e in got]
+
+    def pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of every piece, JOINED pieces at a time; blocks holding the border itself are encoded piece by piece."""
+        if self.border is None:
+            return self.batch(texts)
+        blocks = [texts[k:k + JOINED] for k in range(0, len(texts), JOINED)]
+        joined = self.batch([self.border.join(b) for b in blocks])
+        mark = self.tokenizer.token_to_id(self.border)
+        out: list[bytes] = []
+        for block, data in zip(blocks, joined):
+            at = (4 * np.flatnonzero(np.frombuffer(data, np.uint32) == mark)).tolist()
+            if len(at) != len(block) - 1 or any(self.border in x for x in block):
+                out += self.batch(block)
+            else:
+                out += [data[lo:hi] for lo, hi in zip([0, *(k + 4 for k in at)], [*at, len(data)])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         keys = [self.splitter.keys(t) for t in texts]
         wanted = set().union(*(k for k, _ in keys))
@@ -89,8 +131,7 @@ class Encoder:
         new = list(wanted.difference(again))
         for k in range(0, len(new), 20_000):
             part = new[k:k + 20_000]
-            got = self.tokenizer.encode_batch_fast([self.splitter.text_of(x) for x in part], add_special_tokens=False)
-            self.cache.update(zip(part, (array.array("I", e.ids).tobytes() for e in got)))
+            self.cache.update(zip(part, self.pieces([self.splitter.text_of(x) for x in part])))
         return [b"".join(map(self.cache.__getitem__, k))[4 * drop:] for k, drop in keys]
 
 

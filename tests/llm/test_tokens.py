@@ -112,3 +112,10 @@ def test_rounded_patterns_stay_near_the_linear_program():
     bound = sum(x for _, x in packing.column_generation(weight, np.array([hist[k] for k in weight], float), 64))
     assert bound * 64 >= sum(k * n for k, n in hist.items()) - 1e-6
     assert sum(t for _, t in used) <= 1.005 * bound + 5
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_joined_pieces_have_the_ids_of_single_pieces(path):
+    own = tokens.Encoder(path)
+    pieces = [f"{own.border}x{k}" if k % 150 == 7 else f"Q{k}'s" if k % 3 else f" é{k}<|" for k in range(700)] + ["", own.border]
+    assert own.border and own.pieces(pieces) == own.batch(pieces) and own.pieces([]) == []
