@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 checkpoint folder and reads it again as the next stage's documents.  All stages but the last return the columns
 of documents.
 
-Defined cases: null and empty texts fail the quality rules; rows that repeat a doc_id share its decision; rows without
-a doc_id are decided together, as one id; an empty table passes every stage; extra columns are carried along.
+Every stage that drops documents first writes them with a row key, and each row gets a decision of its own by that key.
+Defined cases: null and empty texts fail the quality rules; of rows that repeat a doc_id, or have none, each is decided by
+its own text, and of equal or similar ones a single row stays; an empty table passes every stage; extra columns are
+carried along.
 """
 
 from __future__ import annotations
@@ -17,33 +19,49 @@ from newsloom.llm import decontaminate, near_dedup, packing, quality_classifier,
 from newsloom.llm.common import cut_lineage, table
 
 
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The documents whose id is among the decided ones (a null id matches a null id)."""
-    ids = decided.select(F.col("doc_id").alias("_decided")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_decided"]), "left_semi")
+ROW = "_pipeline_row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The documents with the row key, written, so that every later read sees the same keys."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents whose row key is in ``rows``, without the key."""
+    return keyed.join(rows.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: rejected documents go; frequent lines of a host leave the texts of the others."""
-    measured = quality_rules.measured(docs, "doc_id", "text", "source")
+    keyed = _keyed(docs)
+    measured = quality_rules.measured(keyed, "doc_id", "text", "source", ROW)
     frequent = cut_lineage(quality_rules.frequent_lines(measured))
-    kept = quality_rules.verdicts(measured, frequent).where("kept")
-    return quality_rules.without_lines(_only(docs, kept), frequent)
+    kept = quality_rules.row_verdicts(measured, frequent).where("kept").withColumnRenamed("row", ROW)
+    return quality_rules.without_lines(_only(keyed, kept), frequent)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 2: documents predicted to be of label 0 go."""
-    return _only(docs, quality_classifier.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    keyed = _keyed(docs)
+    return _only(keyed, quality_classifier.classify(keyed, table(spark, sf_dir, "labels"), row_col=ROW).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group stays."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+    """Operator 10 over rows: one row of each group stays, the one with the smallest doc_id (null after all others)."""
+    keyed = _keyed(docs)
+    groups = near_dedup.near_duplicates(keyed, ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    # among rows of one id the text's hash decides before the key, so the partitions don't
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"), ROW).alias("order")
+    first = (keyed.select(ROW, order).join(groups, ROW).groupBy("component_id")
+             .agg(F.min("order").alias("order")).select(F.col("order")[ROW].alias(ROW)))
+    return _only(keyed, first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: documents holding a window of a benchmark item go."""
-    return _only(docs, decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0"))
+    keyed = _keyed(docs)
+    return _only(keyed, decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), ROW).where("n_hit = 0"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

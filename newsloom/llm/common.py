@@ -26,10 +26,10 @@ def space_words(data: bytes) -> list[bytes]:
     return data.split()
 
 
-def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, data binary): the two columns an operator needs; null text -> empty."""
+def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id long, data binary): the two columns an operator needs; null text -> empty; ``more``: columns to carry."""
     return df.select(F.col(id_col).cast("long").alias(id_col),
-                     F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"))
+                     F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("data"), *more)
 
 
 def crc_mod(id_col: str, n: int) -> Column:

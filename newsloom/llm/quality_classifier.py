@@ -137,24 +137,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-             fit_rows: int = FIT_ROWS) -> DataFrame:
-    """One row per document row: doc_id, held_out, score (0 to 1), predicted.
+             fit_rows: int = FIT_ROWS, row_col: str | None = None) -> DataFrame:
+    """One row per document row: doc_id, held_out, score (0 to 1), predicted; with ``row_col`` that column as well.
 
     Null, empty and wordless texts and texts similar to nothing labelled get the prior (label 1's share); several
     labels of an id count as their largest; rows without id, label or text aren't learnt from; without any label every
     score is 0.5; repeated rows are each scored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, fit_rows))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    more = [row_col] if row_col else []
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *((c, pa.int64()) for c in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for b in slices(batches, 256):
-            yield batch(schema, {"doc_id": b.column(0), "score": vote(model.value, features(pylist(b, "data"), buckets))})
+            yield batch(schema, {"doc_id": b.column(0), "score": vote(model.value, features(pylist(b, "data"), buckets))}
+                        | {c: b.column(b.schema.get_field_index(c)) for c in more})
 
-    scored = map_arrow(id_and_text(docs, id_col, text_col), run, "doc_id long, score double")
+    scored = map_arrow(id_and_text(docs, id_col, text_col, *more), run, ", ".join(["doc_id long", "score double", *(f"{c} long" for c in more)]))
     return scored.select("doc_id", (crc_mod("doc_id", HELD_OUT) == 0).alias("held_out"), "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *more)
 
 
 def op2_quality_classifier(spark, sf_dir):

@@ -78,12 +78,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words"))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """The written per-document table: row, doc_id, host, base counts, lines (distinct normalised lines)."""
+def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str, row_col: str | None = None) -> DataFrame:
+    """The written per-document table: row (``row_col`` or a new key), doc_id, host, base counts, lines (distinct
+    normalised lines)."""
+    row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
-                      F.col(text_col).alias("text"))
+                      F.col(text_col).alias("text"), row.alias("row"))
     lines = line_hashes(F.coalesce(F.col("text"), F.lit("")))
-    df = base_counts(own, "text").withColumns({"all_lines": lines, "row": F.monotonically_increasing_id()}).drop("text")
+    df = base_counts(own, "text").withColumn("all_lines", lines).drop("text")
     return cut_lineage(df)
 
 
@@ -111,13 +113,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def verdicts(m: DataFrame, frequent: DataFrame) -> DataFrame:
     """The rows of ``quality_rules`` from the measured table and the frequent lines."""
+    return row_verdicts(m, frequent).drop("row")
+
+
+def row_verdicts(m: DataFrame, frequent: DataFrame) -> DataFrame:
+    """``verdicts`` with the measured table's row."""
     gone = (m.select("row", "host", F.explode("all_lines").alias("l")).select("row", "host", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
             .join(frequent, ["host", "h"]).groupBy("row").agg(F.count("*").alias("n_removed_lines"), F.sum("w").alias("gone")))
     out = m.select("row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                    F.size("all_lines").cast("long").alias("n_lines")).join(gone, "row", "left")
     out = out.withColumns({"n_removed_lines": F.coalesce("n_removed_lines", F.lit(0).cast("long")),
                            "n_left_words": F.col("n_words") - F.coalesce("gone", F.lit(0)), "base_failed": base_failed()})
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= MIN_WORDS)).drop("row", "gone")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_left_words") >= MIN_WORDS)).drop("gone")
 
 
 def without_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
