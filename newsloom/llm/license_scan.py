@@ -2,17 +2,20 @@
 
 1. index: every template is a word sequence; each of its words posts (template, position).  The words' document
    frequencies are counted over the whole corpus (one narrow pass, a bounded row per template word);
-2. search: a file's template words are ranked by inverse document frequency; the rarest PROBES of them look up their
-   postings, and postings at the same distance (file position minus template position, within SLACK words) vote
-   for one placement of one template;
-3. verify: a placement counts only when every key phrase of the template stands inside the placed stretch; its score is
-   the share of the template's words found there in order of position.
+2. search: a file's template words are ranked by inverse document frequency; the rarest PROBES of a template look up
+   their postings, and postings at the same distance (file position minus template position, within the template's
+   slack) vote for one placement of one template;
+3. verify: the template's words are matched in order within that slack of the placement, so words may be added or
+   missing between them; every key phrase must stand inside the matched stretch.  The score is the matched share of the
+   template's words, and a label's score that of its best template (names are ``label`` or ``label#which``).
 
 The phrases of the base rule are found on the words themselves and give labels of their own.
 """
 
 from __future__ import annotations
 
+import pkgutil
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +29,18 @@ from newsloom.llm.common import alnum_words, batch, id_and_text, map_arrow, pyli
 # fixed values: the base rule's phrases and labels
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# fixed values: licence notices as their authors publish them, with the key phrases that must be present
+_GNU = ("This program is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License "
+        "as published by the Free Software Foundation{either} version {n} of the License, or (at your option) any later version.")
+_CC = ("This work is licensed under {article} Creative Commons {kind} 4.0 International License. To view a copy of this license, visit "
+       "http://creativecommons.org/licenses/{path}/4.0/")
+
+
+def _text(name: str) -> str:
+    return pkgutil.get_data("newsloom.llm", f"licenses/{name}.txt").decode()
+
+
+# fixed values: short licence lines, the notices that the licences' authors publish for use in files, and whole licence
+# texts (licenses/), each with the key phrases that must be present
 TEMPLATES = {
     "mit-notice": ("Released under the MIT License.", ["mit license"]),
     "mit-grant": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -47,10 +61,36 @@ TEMPLATES = {
     "cc0-1.0": ("To the extent possible under law, the author has waived all copyright, CC0 1.0 Universal", ["cc0 1 0"]),
     "unlicense": ("This is free and unencumbered software released into the public domain", ["unencumbered software"]),
     "all-rights-reserved": ("All rights reserved.", ["all rights reserved"]),
+    "apache-2.0#notice": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied.", ["apache license", "version 2 0"]),
+    "gpl-2.0#notice": (_GNU.format(colon=";", kind="", either="; either", n=2), ["gnu general public license", "version 2 of the license"]),
+    "gpl-3.0#notice": (_GNU.format(colon=":", kind="", either=", either", n=3), ["gnu general public license", "version 3 of the license"]),
+    "agpl-3.0#notice": (_GNU.format(colon=":", kind="Affero ", either=", either", n=3), ["gnu affero general public license", "version 3 of the license"]),
+    "lgpl#notice": (_GNU.format(colon=":", kind="Lesser ", either=", either", n=3), ["gnu lesser general public license", "of the license"]),
+    "mpl-2.0#notice": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+                       "with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", ["mozilla public license", "v 2 0"]),
+    "cc-by-4.0#notice": (_CC.format(article="the", kind="Attribution", path="by"), ["creative commons attribution 4 0"]),
+    "cc-by-sa-4.0#notice": (_CC.format(article="the", kind="Attribution-ShareAlike", path="by-sa"), ["creative commons attribution sharealike 4 0"]),
+    "cc-by-nc-4.0#notice": (_CC.format(article="the", kind="Attribution-NonCommercial", path="by-nc"), ["creative commons attribution noncommercial 4 0"]),
+    "cc-by-nc-sa-4.0#notice": (_CC.format(article="the", kind="Attribution-NonCommercial-ShareAlike", path="by-nc-sa"),
+                               ["creative commons attribution noncommercial sharealike 4 0"]),
+    "cc-by-nd-4.0#notice": (_CC.format(article="the", kind="Attribution-NoDerivatives", path="by-nd"), ["creative commons attribution noderivatives 4 0"]),
+    "gpl-2.0#text": (_text("GPL-2"), ["gnu general public license", "version 2 june 1991"]),
+    "gpl-3.0#text": (_text("GPL-3"), ["gnu general public license", "version 3 29 june 2007"]),
+    "lgpl#text-2.1": (_text("LGPL-2.1"), ["gnu lesser general public license", "version 2 1 february 1999"]),
+    "lgpl#text-3": (_text("LGPL-3"), ["gnu lesser general public license", "version 3 29 june 2007"]),
+    "apache-2.0#text": (_text("Apache-2.0"), ["apache license", "version 2 0 january 2004"]),
+    "mpl-2.0#text": (_text("MPL-2.0"), ["mozilla public license", "version 2 0"]),
+    "bsd#text": (_text("BSD"), ["redistribution and use in source and binary forms"]),
+    "cc0-1.0#text": (_text("CC0-1.0"), ["cc0 1 0 universal"]),
 }
 
 PROBES = 4       # rarest words of a file-template pair that vote
-SLACK = 2        # words by which one placement's votes may differ
+SLACK = 2        # words by which one placement's votes may differ, and one more for every SLACK_SHARE words of a template
+SLACK_SHARE = 8
 
 
 def _words(text: str) -> list[bytes]:
@@ -64,6 +104,34 @@ def find_phrase(words: list[bytes], places: dict[bytes, list[int]], phrase: list
     return [p - anchor for p in places.get(phrase[anchor], ()) if p >= anchor and words[p - anchor:p - anchor + n] == phrase]
 
 
+def ordered_match(places: dict[bytes, list[int]], template: dict[bytes, list[int]], shift: int, slack: int) -> list[int]:
+    """File positions of the longest common subsequence of the file and the template (both as positions of each word)
+    that keeps within ``slack`` of the placement at ``shift``."""
+    pairs = []
+    for word, own in template.items():
+        at = places.get(word)
+        if at:
+            for k in own:
+                j = bisect_left(at, shift + k - slack)
+                while j < len(at) and at[j] <= shift + k + slack:
+                    pairs.append((k, -at[j]))
+                    j += 1
+    # longest increasing subsequence of file positions; a template position is used once, as its pairs descend
+    ends: list[int] = []
+    nodes: list[int] = []
+    before: list[int] = []
+    pairs.sort()
+    for i, (_, p) in enumerate(pairs):
+        n = bisect_left(ends, -p)
+        before.append(nodes[n - 1] if n else -1)
+        ends[n:n + 1], nodes[n:n + 1] = [-p], [i]
+    out, i = [], nodes[-1] if nodes else -1
+    while i >= 0:
+        out.append(-pairs[i][1])
+        i = before[i]
+    return out[::-1]
+
+
 class Index:
     """Postings of the templates' words and their inverse document frequencies."""
 
@@ -74,13 +142,21 @@ class Index:
         for name, (words, _) in self.templates.items():
             for k, w in enumerate(words):
                 self.postings[w].append((name, k))
+        self.places: dict[str, dict[bytes, list[int]]] = {name: defaultdict(list) for name in self.templates}
+        for name, (words, _) in self.templates.items():
+            for k, w in enumerate(words):
+                self.places[name][w].append(k)
+        self.key_words = {name: {w for key in keys for w in key} for name, (_, keys) in self.templates.items()}
+        self.base_words = [set(p) for p, _ in self.base]
         self.vocabulary = set(self.postings) | {w for p, _ in self.base for w in p}
         self.idf = {w: float(np.log((1 + documents) / (1 + frequency.get(w, 0)))) for w in self.vocabulary}
+        self.rarest = {name: sorted(own, key=lambda w: (-self.idf[w], w)) for name, own in self.places.items()}
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], dict[str, float]]:
         """(starts of base phrases, base labels, score of each template found)."""
         held = self.vocabulary.intersection(words)
-        if not held:
+        candidates = [name for name, own in self.key_words.items() if own <= held]
+        if not candidates and not any(own <= held for own in self.base_words):
             return [], set(), {}
         places: dict[bytes, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
@@ -92,33 +168,41 @@ class Index:
             starts += at
             if at:
                 labels.add(label)
-        rare = sorted(held, key=lambda w: (-self.idf[w], w))
-        probes: dict[str, list[tuple[bytes, int]]] = defaultdict(list)
-        for w in rare:
-            for name, k in self.postings.get(w, ()):
-                if len(probes[name]) < PROBES:
-                    probes[name].append((w, k))
-        scores = {}
-        for name, chosen in probes.items():
+        scores: dict[str, float] = {}
+        for name in candidates:
             template, keys = self.templates[name]
-            if any(not all(w in held for w in key) for key in keys):
-                continue          # a key phrase's word is missing
+            found = [find_phrase(words, places, key) for key in keys]
+            if not all(found):
+                continue
+            own, slack, chosen = self.places[name], SLACK + len(template) // SLACK_SHARE, []
+            for w in self.rarest[name]:
+                if w in held:
+                    chosen += [(w, k) for k in own[w]]
+                    if len(chosen) >= PROBES:
+                        break
             votes = Counter(p - k for w, k in chosen for p in places[w])
-            best = 0.0
-            for shift, _ in votes.most_common():
-                near = sum(votes.get(shift + d, 0) for d in range(-SLACK, SLACK + 1))
-                if near < min(2, len(template)):
+            shifts = sorted(votes)
+            totals = [0]
+            for shift in shifts:
+                totals.append(totals[-1] + votes[shift])
+            best, tried = 0.0, []
+            for shift, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+                near = totals[bisect_left(shifts, shift + slack + 1)] - totals[bisect_left(shifts, shift - slack)]
+                place = bisect_left(tried, shift)
+                if near < min(2, len(template)) or any(abs(shift - x) <= slack // 4 for x in tried[max(0, place - 1):place + 1]):
                     continue
-                lo, hi = max(0, shift - SLACK), shift + len(template) + SLACK
-                if not all(any(lo <= p and p + len(key) <= hi for p in find_phrase(words, places, key)) for key in keys):
+                tried.insert(place, shift)
+                match = ordered_match(places, own, shift, slack)
+                if len(match) <= best * len(template):
                     continue
-                part = words[max(0, shift):shift + len(template)]
-                same = sum(x == y for x, y in zip(part, template[max(0, -shift):]))
-                best = max(best, same / len(template))
-                if best == 1.0:
-                    break
+                lo, hi = max(0, match[0] - slack), match[-1] + 1 + slack
+                if all(any(lo <= p and p + len(key) <= hi for p in at) for key, at in zip(keys, found)):
+                    best = len(match) / len(template)
+                    if best == 1.0:
+                        break
             if best > 0.5:
-                scores[name] = best
+                label = name.split("#")[0]
+                scores[label] = max(best, scores.get(label, 0.0))
         return starts, labels, scores
 
 
