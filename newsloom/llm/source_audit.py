@@ -20,24 +20,39 @@ as ``CountVectorizer`` does it; nothing else grows there.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import checkpoint_dir, cut_lineage, table
+from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, map_arrow, slices, table
 
 MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
+ROWS = 512           # texts that are split together, if they have fewer than MOST bytes
+MOST = 1 << 28
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NOT_WORD = r"[\x00-\x60\x7B-\x7F]+"       # after lower-casing, what stands between words
+# bytes table: A-Z lower-cased, ASCII characters other than letters become a space
+LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+HELD = 2_000_000     # distinct elements of group sums a task holds before it sends them
 
 
-def words(text: Column) -> Column:
-    """Words ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), NOT_WORD)
-    return F.filter(parts, lambda w: w != "")
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """Words ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` of UTF-8 texts with A-Z lower-cased, cut out of the joined bytes by numpy."""
+    data = b" ".join([*(x or b"" for x in texts.to_pylist()), b""]).translate(LETTERS)
+    letters = np.frombuffer(data, np.uint8) != 32
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], letters, [False]]).view(np.int8)))
+    starts, ends = edges[0::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    kept = data.replace(b" ", b"")
+    sizes = np.array([0, *(len(x or b"") + 1 for x in texts.to_pylist())], np.int64)
+    bounds = np.searchsorted(starts, np.cumsum(sizes)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), words)
 
 
 def probability(count: Column, total: Column, size: Column) -> Column:
@@ -61,9 +76,15 @@ def word_vectors(docs: DataFrame, lang_col: str = "lang", source_col: str = "sou
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     # the folder is a hash of the language: any string may be one, the empty one too
-    (docs.select(F.sha2(text(lang_col), 256).alias("folder"), text(lang_col).alias("lang"), text(source_col).alias("source"),
-                 words(F.col(text_col)).alias("words"))
-     .write.partitionBy("folder").parquet(f"{base}/words"))
+    kind = pa.schema([("folder", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("words", pa.list_(pa.string()))])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (c for b in slices(batches, ROWS) for c in slices(iter([b]), ROWS if b.nbytes < MOST else 1)):
+            yield batch(kind, {f.name: b.column(k) for k, f in enumerate(kind)} | {"words": word_lists(b.column(3))})
+
+    read = docs.select(F.sha2(text(lang_col), 256).alias("folder"), text(lang_col).alias("lang"), text(source_col).alias("source"),
+                       text(text_col).cast("binary").alias("words"))
+    map_arrow(read, split, "folder string, lang string, source string, words array<string>").write.partitionBy("folder").parquet(f"{base}/words")
     held = spark.read.schema("lang string, source string, words array<string>, folder string").parquet(f"{base}/words")
     counter = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1)
     for row in held.select("folder", "lang").distinct().collect():          # one row a language
