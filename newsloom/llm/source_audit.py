@@ -135,21 +135,21 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
 def _pairs(groups: DataFrame, counted: DataFrame) -> DataFrame:
     s = groups.select("lang", F.col("source").alias("s"), "size", F.col("p0").alias("s0"))
     t = groups.select("lang", F.col("source").alias("t"), F.col("p0").alias("t0"))
-    # the answer itself has a row for each ordered pair of sources of a language
-    none = (s.join(t, "lang").where("s <> t")
+    # the answer itself has a row for each ordered pair of sources of a language; a value is computed for s < t
+    none = (s.join(t, "lang").where("s < t")
             .select("lang", "s", "t", F.coalesce(F.col("size") * gap(F.col("s0"), F.col("t0")), F.lit(0)).alias("value")))
     histogram = counted.groupBy("lang", F.col("source").alias("s"), F.col("p0").alias("s0"), "p").agg(F.count(F.lit(1)).alias("words"))
     one = (histogram.join(t, "lang").where("s <> t")
-           .select("lang", "s", "t", (F.col("words") * (gap(F.col("p"), F.col("t0")) - gap(F.col("s0"), F.col("t0")))).alias("value")))
-    other = one.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "value")
+           .select("lang", F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t"),
+                   (F.col("words") * (gap(F.col("p"), F.col("t0")) - gap(F.col("s0"), F.col("t0")))).alias("value")))
     a = counted.select("lang", "idx", F.col("source").alias("s"), F.col("p").alias("ps"), F.col("p0").alias("s0"))
     b = counted.select("lang", "idx", F.col("source").alias("t"), F.col("p").alias("pt"), F.col("p0").alias("t0"))
     ps, pt, s0, t0 = map(F.col, ("ps", "pt", "s0", "t0"))
     shared = (a.join(b, ["lang", "idx"]).where("s < t")
               .groupBy("lang", "s", "t").agg(F.sum(gap(ps, pt) - gap(ps, t0) - gap(s0, pt) + gap(s0, t0)).alias("value")))
-    back = shared.select("lang", F.col("t").alias("s"), F.col("s").alias("t"), "value")
-    total = (none.unionByName(one).unionByName(other).unionByName(shared).unionByName(back)
-             .groupBy("lang", "s", "t").agg(F.sum("value").alias("value")))
+    half = none.unionByName(one).unionByName(shared).groupBy("lang", "s", "t").agg(F.sum("value").alias("value"))
+    both = F.array(F.struct("s", "t"), F.struct(F.col("t").alias("s"), F.col("s").alias("t")))
+    total = half.select("lang", "value", F.explode(both).alias("pair")).select("lang", "pair.s", "pair.t", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "s").orderBy(F.col("value").desc(), "t"))
     return total.select("lang", F.col("s").alias("source"), F.lit("pair").alias("part"), F.col("t").alias("item"), "value",
                         rank.alias("rank"))
