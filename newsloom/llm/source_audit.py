@@ -28,7 +28,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, map_arrow, slices, table
+from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, map_arrow, pylist, slices, table
 
 MIN_DOCS = 10
 TOP = 10
@@ -101,9 +101,40 @@ def word_vectors(docs: DataFrame, lang_col: str = "lang", source_col: str = "sou
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, source, idx, n): the sum of a group's vectors, one row for every element that isn't zero."""
-    return (vectors.select("lang", "source", F.explode(F.arrays_zip("indices", "values")).alias("e"))
-            .groupBy("lang", "source", F.col("e.indices").alias("idx")).agg(F.sum("e.values").cast("long").alias("n")))
+    """(lang, source, idx, n): the sum of a group's vectors, one row for every element that isn't zero.
+
+    A task adds its vectors up, sparse, and sends sums whenever it holds HELD elements; the rest of the sum is a shuffle."""
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("idx", pa.int64()), ("n", pa.int64())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple[str, str], int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, at, np.concatenate([n for _, n in held]))
+            return keys, sums
+
+        def sent(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+            group = np.array(list(names), object)[keys >> 32] if len(keys) else np.zeros((0, 2), object)
+            return batch(kind, {"lang": group[:, 0], "source": group[:, 1], "idx": keys & 0xFFFFFFFF, "n": sums})
+
+        for b in batches:
+            group = np.array([names.setdefault(g, len(names)) for g in zip(pylist(b, "lang"), pylist(b, "source"))], np.int64)
+            lists = b.column(b.schema.get_field_index("indices"))
+            idx, n = np.asarray(lists.flatten()), np.asarray(b.column(b.schema.get_field_index("values")).flatten())
+            held.append((np.repeat(group, np.asarray(lists.value_lengths())) << 32 | idx.astype(np.int64), n.astype(np.int64)))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [merge()]
+                if len(held[0][0]) > HELD // 2:
+                    yield sent(*held[0])
+                    held, names = [], {}
+        if held:
+            yield sent(*merge())
+
+    return (map_arrow(vectors.select("lang", "source", "indices", "values"), add, "lang string, source string, idx long, n long")
+            .groupBy("lang", "source", F.col("idx").cast("int").alias("idx")).agg(F.sum("n").alias("n")))
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
