@@ -2,9 +2,9 @@
 
 1. the words of every document are written once, in one folder per language;
 2. per language, ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize`` fits the vocabulary (every
-   word of at least MIN_DOCS documents, none left out) and gives the exact sparse vector of each document, written too;
-3. the vectors' (index, count) elements are summed by group, sparse, with map-side sums: a source holding a third of
-   the rows sends one row a word and task;
+   word of at least MIN_DOCS documents, none left out) and gives the exact sparse vector of each document;
+3. the vectors are summed by group, sparse, in the tasks that make them and then by a shuffle: a source holding a third
+   of the rows sends few rows a word and task.  The sums are written;
 4. a probability depends on the group and the count alone.  With f00 the term of two words that neither source has,
    a pair of sources sums to
 
@@ -66,9 +66,9 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), p + q)
 
 
-def word_vectors(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
-                 min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, indices, values) of every document, and (lang, idx, word) of every language's vocabulary."""
+def word_sums(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
+              min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lang, source) of every group, (lang, source, idx, n) of its words, and (lang, idx, word) of every vocabulary."""
     spark = docs.sparkSession
     base = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
 
@@ -90,18 +90,15 @@ def word_vectors(docs: DataFrame, lang_col: str = "lang", source_col: str = "sou
     for row in held.select("folder", "lang").distinct().collect():          # one row a language
         own = held.where(F.col("folder") == row["folder"])
         model = counter.fit(own)
-        model.transform(own).select("lang", "source", "vector").write.mode("append").parquet(f"{base}/vectors")
+        group_sums(model.transform(own).select("lang", "source", "vector")).write.mode("append").parquet(f"{base}/sums")
         terms = spark.createDataFrame([(row["lang"], list(model.vocabulary))], "lang string, words array<string>")
         terms.select("lang", F.posexplode("words").alias("idx", "word")).write.mode("append").parquet(f"{base}/terms")
-    # the vector type's stored form, read as the plain struct it is
-    vector = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
-    vectors = spark.read.schema(f"lang string, source string, vector {vector}").parquet(f"{base}/vectors")
-    terms = spark.read.schema("lang string, idx int, word string").parquet(f"{base}/terms")
-    return vectors.select("lang", "source", F.col("vector.indices").alias("indices"), F.col("vector.values").alias("values")), terms
+    return (held.select("lang", "source").distinct(), spark.read.schema("lang string, source string, idx int, n long").parquet(f"{base}/sums"),
+            spark.read.schema("lang string, idx int, word string").parquet(f"{base}/terms"))
 
 
 def group_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, source, idx, n): the sum of a group's vectors, one row for every element that isn't zero.
+    """(lang, source, idx, n) from (lang, source, sparse vector): the sum of each group, one row for every element that isn't zero.
 
     A task adds its vectors up, sparse, and sends sums whenever it holds HELD elements; the rest of the sum is a shuffle."""
     kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("idx", pa.int64()), ("n", pa.int64())])
@@ -122,8 +119,8 @@ def group_sums(vectors: DataFrame) -> DataFrame:
 
         for b in batches:
             group = np.array([names.setdefault(g, len(names)) for g in zip(pylist(b, "lang"), pylist(b, "source"))], np.int64)
-            lists = b.column(b.schema.get_field_index("indices"))
-            idx, n = np.asarray(lists.flatten()), np.asarray(b.column(b.schema.get_field_index("values")).flatten())
+            _, _, lists, values = b.column(b.schema.get_field_index("vector")).flatten()      # type, size, indices, values
+            idx, n = np.asarray(lists.flatten()), np.asarray(values.flatten())
             held.append((np.repeat(group, np.asarray(lists.value_lengths())) << 32 | idx.astype(np.int64), n.astype(np.int64)))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [merge()]
@@ -133,7 +130,7 @@ def group_sums(vectors: DataFrame) -> DataFrame:
         if held:
             yield sent(*merge())
 
-    return (map_arrow(vectors.select("lang", "source", "indices", "values"), add, "lang string, source string, idx long, n long")
+    return (map_arrow(vectors, add, "lang string, source string, idx long, n long")
             .groupBy("lang", "source", F.col("idx").cast("int").alias("idx")).agg(F.sum("n").alias("n")))
 
 
@@ -149,11 +146,10 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     spark = docs.sparkSession
     if docs.isEmpty():
         return spark.createDataFrame([], "lang string, source string, part string, item string, value long, rank int")
-    vectors, terms = word_vectors(docs, lang_col, source_col, text_col, min_docs)
-    sums = cut_lineage(group_sums(vectors))
+    named, sums, terms = word_sums(docs, lang_col, source_col, text_col, min_docs)
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
     # one row a group, also for groups without words
-    groups = cut_lineage(vectors.select("lang", "source").distinct()
+    groups = cut_lineage(named
                          .join(sums.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
                          .join(sizes, "lang", "left")
                          .select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("size", F.lit(0)).alias("size"))

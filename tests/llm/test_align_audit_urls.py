@@ -7,8 +7,10 @@ import re
 from collections import Counter, defaultdict
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -61,6 +63,32 @@ def test_alignment_equals_the_plain_version(spark, head):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_fast_ids_are_those_of_the_library():
+    library, fast = Tokenizer.from_file(A), align_tokenizers.ranked(A)
+    library.encode_special_tokens = True
+    assert fast is not None and align_tokenizers.ranked(P.path("word_bpe_49k.json")) is None
+    texts = [f"a{c}b {c}1{c}  {c}!{c} \n{c}" for c in map(chr, range(0x3000))]
+    for t in [*texts, "x" * 30_000, " " * 30_000, "\n" * 999, "  a" * 5_000, "<|endoftext|>"]:
+        assert fast.encode_ordinary(t) == library.encode(t, add_special_tokens=False).ids, repr(t[:40])
+
+
+def test_word_lists():
+    texts = ["Ab c1d É", "", "  x", " " * 5, "zz", "é-è", "A" * 10 + " b", "\x00Z\x7f"]
+    want = [re.findall(r"[^\x00-\x60\x7B-\x7F]+", t.translate(str.maketrans(source_audit.UPPER, source_audit.LOWER))) for t in texts]
+    assert source_audit.word_lists(pa.array([t.encode() for t in texts])).to_pylist() == want
+    assert source_audit.word_lists(pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_group_sums_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(source_audit, "HELD", 3)
+    rows = [("a", f"s{k % 3}", {0: 1.0, k % 5 + 1: 2.0}) for k in range(50)] + [("b", "s0", {})]
+    vectors = spark.createDataFrame([(la, s, Vectors.sparse(9, v)) for la, s, v in rows], ["lang", "source", "vector"]).repartition(3)
+    want = Counter()
+    for la, s, v in rows:
+        want.update({(la, s, i): int(n) for i, n in v.items()})
+    assert {tuple(r)[:3]: r["n"] for r in source_audit.group_sums(vectors).collect()} == want
+
+
 def test_alignment_of_invalid_bytes_and_no_rows(spark):
     docs = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text")
     assert [tuple(r)[1:] for r in align_tokenizers.align(docs, A, B).collect()] == [(0, 0, 0, 0, 0, 0, "")]
