@@ -8,31 +8,39 @@ maximal independent set in rounds):
     u := undecided rows
     repeat until u is empty:
         kept_r := rows of u whose order is the minimum of u for *every* one of their keys
+        kept_r += rows that a chain of single conflicts decides (below)
         u      := u minus kept_r minus every row sharing any key with kept_r
 
+A row that conflicts with exactly one earlier undecided row is kept iff that row is not.  Such rows form chains, and a
+chain is decided at once from the row at its head: its members of even distance are kept.  The distances come from
+pointer doubling, so a chain of n conflicts takes log2(n) joins instead of n / 2 rounds.  Rounds remain only for rows with
+two or more earlier conflicts that are themselves undecided (the problem is inherently sequential in the worst case).
+
 Physical shape per round, chosen for skewed keys (one key may hold a third of the rows):
-* per-key minima are ``groupBy(key).agg(min(order))`` -- partial (map-side) aggregation, so a hot
-  key costs one row per map task, never one task holding the whole group;
-* the candidate test is a semi-join on ``order`` (unique) -- no hot key in that exchange;
+* only (order, keys) take part;
+* the two earliest rows of each key are a ``row_number() <= 2`` window, which Spark limits within each map task before
+  the shuffle, so a hot key costs two rows per map task, never one task holding the whole group.  They hold all that a
+  round needs: no earlier row on any key (kept), or exactly one (a chain link);
+* pointers are joined on ``order``, which is unique; rows whose pointer is final leave the join;
 * the removal is a left-anti join on each key; the kept side has at most one row per key, and AQE's
   skew-join split handles a hot key on the large side.
 Exact duplicates of the whole key tuple are collapsed first (again a partial aggregation), so a
-hot group of identical copies shrinks to one row before any round.  Lineage is cut with a reliable
-``checkpoint()`` every round (executor loss cannot lose decided state).
+hot group of identical copies shrinks to one row before any round.  Lineage is cut every round by a table in the
+shared checkpoint folder (executor loss cannot lose decided state).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed, text as T
 from newsloom.session import cut_lineage
 
 
-# Number of fixpoint rounds of recent calls (diagnostics only; bounded list).
+# Number of fixpoint rounds and pointer doublings of recent calls (diagnostics only; bounded list).
 LAST_ROUNDS: list[int] = []
 
 
@@ -42,39 +50,64 @@ def first_seen(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.join(firsts.select(order), order, "left_semi")
 
 
-def _round_kept(u: DataFrame, keys: list[str], order: str) -> DataFrame:
-    cand = u.select(order)
-    for k in keys:
-        mins = u.groupBy(k).agg(F.min(order).alias(order)).select(order)
-        cand = cand.join(mins, order, "left_semi")
-    return u.join(cand, order, "left_semi")
+def _links(u: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(order, parent): rows with no earlier row on any key (parent null), or exactly one."""
+    def near(k: str) -> DataFrame:
+        w = Window.partitionBy(k).orderBy(order)
+        two = u.select(k, order).withColumn("_n", F.row_number().over(w)).where("_n <= 2")
+        return two.select(order, F.lag(order).over(w).alias("_parent"))
+    rows = reduce(DataFrame.unionByName, map(near, keys))       # at most one row per (order, key)
+    seen = rows.groupBy(order).agg(F.count(F.lit(1)).alias("_keys"), F.collect_set("_parent").alias("_parents"))
+    return (seen.where((F.col("_keys") == len(keys)) & (F.size("_parents") <= 1))
+            .select(order, F.get("_parents", F.lit(0)).alias("parent")))
+
+
+def _chain_kept(links: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """The rows that the written table ``links`` decides as kept, and the number of doublings."""
+    heads = links.where("parent IS NULL").select(order)
+    done: list[DataFrame] = []
+    open_ = chain = links.where("parent IS NOT NULL").select(order, F.col("parent").alias("root"), F.lit(1).alias("far"))
+    steps = 0
+    while not open_.isEmpty():
+        steps += 1
+        above = chain.select(F.col(order).alias("root"), F.col("root").alias("_root"), F.col("far").alias("_far"))
+        moved = cut_lineage(open_.join(above, "root", "left"))
+        done.append(moved.where("_far IS NULL").select(order, "root", "far"))
+        open_ = moved.where("_far IS NOT NULL").select(order, F.col("_root").alias("root"), F.pmod(F.col("far") + F.col("_far"), F.lit(2)).alias("far"))
+        # a pointer that is final is the last word on its row; the others are twice as long
+        chain = reduce(DataFrame.unionByName, [open_, *done])
+    if not done:
+        return heads, steps
+    even = reduce(DataFrame.unionByName, done).where("far = 0")
+    return heads.unionByName(even.join(heads.select(F.col(order).alias("root")), "root", "left_semi").select(order)), steps
 
 
 def greedy_dedupe_orders(df: DataFrame, keys: list[str], order: str, checkpoint_every: int = 1,
                          max_rounds: int | None = None) -> DataFrame:
     """D1 core: returns the ``order`` values of kept rows (one column DataFrame).
 
-    ``order`` must be unique and non-null; null keys never collide (they register nothing).
+    ``order`` must be unique and non-null, and so must the values that stand for null keys (``greedy_dedupe`` makes them).
     """
     # Collapse identical key tuples: only the earliest copy can ever be kept.
     u = df.groupBy(*keys).agg(F.min(order).alias(order))
     u = cut_lineage(u)
     kept_parts: list[DataFrame] = []
-    rnd = 0
+    rnd = steps = 0
     while True:
         rnd += 1
-        kept = cut_lineage(_round_kept(u, keys, order))
+        orders, doublings = _chain_kept(cut_lineage(_links(u, keys, order)), order)
+        steps += 1 + doublings
+        kept = cut_lineage(u.join(orders, order, "left_semi"))
         kept_parts.append(kept.select(order))
         rest = u.join(kept.select(order), order, "left_anti")
         for k in keys:
-            taken = kept.select(k).where(F.col(k).isNotNull())
-            rest = rest.join(taken, k, "left_anti")
+            rest = rest.join(kept.select(k), k, "left_anti")
         u = cut_lineage(rest) if rnd % checkpoint_every == 0 else rest
         if u.isEmpty():
             break
         if max_rounds is not None and rnd >= max_rounds:
             raise RuntimeError(f"greedy_dedupe did not converge in {max_rounds} rounds")
-    LAST_ROUNDS.append(rnd)
+    LAST_ROUNDS.append(steps)
     del LAST_ROUNDS[:-100]
     return reduce(lambda a, b: a.unionByName(b), kept_parts)
 

@@ -1,14 +1,15 @@
 """Registered queries of the tokenizer, sequence and generation operators.
 
-The BPE queries (T-2..T-7) run the real tokenizer with a merge table derived from the corpus;
-they have no SQL twin (the merge loop is not SQL), except the round trip, whose expected answer
-is known.  The sequence queries take per-field ids from a SQL-reproducible stand-in encoder
-(``word_ids``: each word hashed into 1..50000) so that layout, cutting, windows, folds,
-buffering, padding, features and batching are all checked exactly against DuckDB.
+The BPE and sequence queries run the real tokenizer with the 50,000 merges of a public tokenizer file; their SQL
+twins read the same file and repeat, for every distinct word, the merge of lowest rank until none fits.  So ids, layout,
+cutting, windows, folds, buffering, padding and features are all checked exactly against DuckDB at the
+reference's lengths.  The generation contexts take ids from a SQL-reproducible stand-in encoder (``word_ids``: each
+word hashed into 1..50000).
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +33,10 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-N_MERGES = 50
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_VOCAB = 50000
-SP = TK.special_ids(WORD_VOCAB - 256)      # begin/end ids above the stand-in word ids
-L = 256                                    # sequence length for the tests (stored as L + 1)
+SP = TK.special_ids(len(TK.file_merges(TOKENIZER)))
+L = fixed.SEQUENCE_LENGTH                  # stored as L + 1
 WORDS = MD.WORD_PATTERN
 
 
@@ -50,23 +51,23 @@ def word_ids_sql(col: str) -> str:
             f"lambda w: (1 + (('0x' || substr(md5(w), 1, 6))::BIGINT % {WORD_VOCAB}))::INTEGER)")
 
 
-def _merges(spark: SparkSession, sf: str) -> DataFrame:
-    return TK.top_pair_merges(spark, K.table(spark, sf, "documents"), "text", N_MERGES)
+def _merges(spark: SparkSession) -> DataFrame:
+    return TK.read_merges_file(spark, TOKENIZER)
 
 
 # ------------------------------------------------------------------------------ tokenizer
 @register("tok_encode")
 def tok_encode(spark: SparkSession, sf: str) -> DataFrame:
-    """T-2 + T-3 + T-5 (+ J6): every document encoded with the corpus-derived merge table."""
+    """T-2 + T-3 + T-5 (+ J6): every document encoded with the merge table of the tokenizer file."""
     docs = K.table(spark, sf, "documents").select("doc_id", "text")
-    enc = TK.encode(docs, "text", _merges(spark, sf))
-    return enc.select("doc_id", F.size("ids").alias("n_ids"))
+    enc = TK.encode(docs, "text", _merges(spark))
+    return enc.select("doc_id", F.size("ids").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
 @register("tok_roundtrip", "SELECT doc_id, true AS same FROM documents")
 def tok_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """T-6: decode(encode(text)) == text for every document (expected: all true)."""
-    m = _merges(spark, sf)
+    m = _merges(spark)
     docs = K.table(spark, sf, "documents").select("doc_id", "text")
     back = TK.decode(TK.encode(docs, "text", m), "ids", m, out="back")
     return back.select("doc_id", (F.col("back") == F.col("text")).alias("same"))
@@ -82,8 +83,8 @@ def tok_pair_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("tok_vocab")
 def tok_vocab(spark: SparkSession, sf: str) -> DataFrame:
-    """T-1 + T-4 + T-7 + P25: vocabulary ids for bytes, merges (learned from pair counts) and special tokens."""
-    return TK.build_vocab(spark, _merges(spark, sf))
+    """T-1 + T-4 + T-7 + P25: vocabulary ids for bytes, merges and special tokens."""
+    return TK.build_vocab(spark, _merges(spark))
 
 
 # ------------------------------------------------------------------------------ dates
@@ -99,41 +100,112 @@ def date_spelled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------ sequences
-def pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-field id pieces of every document: domain = source, title = first line, article = the
-    rest, summary = second line when longer than 50 characters (P17/P18, stand-in ids)."""
-    d = K.table(spark, sf, "documents")
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Stand-in articles: domain from the source, title = first line, text = the rest, summary = second line, date and
+    authors by a rule on doc_id (no author, one of 5 letters, two)."""
     title = F.substring_index("text", "\n", 1)
     body = F.substring(F.col("text"), F.length(title) + 2, 1 << 30)
-    second = F.substring_index(body, "\n", 1)
-    d = d.select("doc_id", "source", title.alias("title"), body.alias("article"),
-                 TX.summary_text(second).alias("summary"))
-    d = d.select("doc_id", "source", *[F.col(c).alias(f"t_{c}") for c in ("title", "article", "summary")])
-    d = with_computed(d, {"w_domain": word_ids("source"), "w_title": word_ids("t_title"),
-                          "w_article": word_ids("t_article"), "w_summary": word_ids("t_summary")})
-    d = d.select("doc_id", "source",
-                    Q.wrap(F.col("w_domain"), SP["begin_domain"], SP["end_domain"]).alias("p_domain"),
-                    Q.wrap(F.col("w_title"), SP["begin_title"], SP["end_title"]).alias("p_title"),
-                    Q.wrap(F.col("w_article"), SP["begin_article"], SP["end_article"]).alias("p_article"),
-                    F.when(F.col("t_summary").isNotNull(),
-                           Q.wrap(F.col("w_summary"), SP["begin_summary"], SP["end_summary"])).alias("p_summary"),
-                    F.lit(None).cast("array<int>").alias("p_date"), F.lit(None).cast("array<int>").alias("p_authors"))
-    return d
+    kind = F.pmod(F.col("doc_id"), F.lit(3))
+    return K.table(spark, sf, "documents").select(
+        "doc_id", "source", F.concat("source", F.lit(".example.com")).alias("domain"), title.alias("title"), body.alias("text"),
+        F.substring_index(body, "\n", 1).alias("summary"),
+        F.date_format(F.date_add(F.lit("2016-12-01").cast("date"), F.pmod(F.col("doc_id"), F.lit(900)).cast("int")), "MM-dd-yyyy").alias("publish_date"),
+        F.when(kind == 0, F.array().cast("array<string>")).when(kind == 1, F.array(F.lit("Staff")))
+        .otherwise(F.array(F.concat(F.lit("Reporter "), "source"), F.lit("Ann O'Neil"))).alias("authors"))
+
+
+def pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-field id pieces of every document (P16-P18, T-5)."""
+    p = Q.article_pieces(articles(spark, sf), _merges(spark), SP)
+    return p.select("doc_id", "source", *[f"p_{f}" for f in Q.FIELDS])
 
 
 def _wrap_sql(x: str, field: str) -> str:
     return f"list_concat([{SP['begin_' + field]}], {x}, [{SP['end_' + field]}])"
 
 
-PIECES_SQL = f"""(SELECT doc_id, source,
-    {_wrap_sql(word_ids_sql('source'), 'domain')} AS p_domain,
-    {_wrap_sql(word_ids_sql('title'), 'title')} AS p_title,
-    {_wrap_sql(word_ids_sql('article'), 'article')} AS p_article,
-    CASE WHEN length(second) > {fixed.MIN_PIECE_SUMMARY_LENGTH} THEN {_wrap_sql(word_ids_sql('second'), 'summary')} END AS p_summary,
-    NULL::INTEGER[] AS p_date, NULL::INTEGER[] AS p_authors
-  FROM (SELECT *, split_part(article, chr(10), 1) AS second FROM (
-        SELECT doc_id, source, split_part(text, chr(10), 1) AS title,
-               substring(text, length(split_part(text, chr(10), 1)) + 2) AS article FROM documents)))"""
+# ------------------------------------------------------------------ tokenizer in SQL (DuckDB)
+# Java's (?U)\s is the Unicode White_Space set; RE2 has no look-ahead, so the whitespace branch
+# "\s+(?!\S)" is emulated: a run of two or more followed by a token gives up its last character,
+# which joins the next token when it is a space and stands alone otherwise.
+_WSJ = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_P2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WSJ[1:-1] + r"\p{L}\p{N}]+|" + _WSJ + "+"
+
+
+def _isws(x: str) -> str:
+    return f"regexp_full_match({x}, {S.q(_WSJ + '+')})"
+
+
+def pretokens_sql(src: str, key: str) -> str:
+    """(key, pre list) with the pre-tokens of ``text``."""
+    return f"""(SELECT {key}, flatten(list_transform(range(1, len(toks) + 1), lambda i:
+       CASE WHEN {_isws('toks[i]')} AND i < len(toks) AND length(toks[i]) >= 2 THEN
+              (CASE WHEN right(toks[i], 1) = ' ' THEN [left(toks[i], length(toks[i]) - 1)]
+                    ELSE [left(toks[i], length(toks[i]) - 1), right(toks[i], 1)] END)
+            WHEN i > 1 AND {_isws('toks[i-1]')} AND length(toks[i-1]) >= 2 AND right(toks[i-1], 1) = ' '
+                 AND NOT {_isws('toks[i]')} THEN [' ' || toks[i]]
+            ELSE [toks[i]] END)) AS pre
+      FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), {S.q(_P2)}) AS toks FROM {src}))"""
+
+
+def byte_encode_sql(w: str) -> str:
+    """UTF-8 bytes of ``w`` (from code points) mapped through the byte table."""
+    table = "[" + ", ".join(S.q(c) for c in fixed.byte_table()) + "]"
+    bytes_ = (f"flatten(list_transform(list_transform(string_split({w}, ''), lambda c: unicode(c)), lambda cp: "
+              f"CASE WHEN cp < 128 THEN [cp] WHEN cp < 2048 THEN [192 + cp // 64, 128 + cp % 64] "
+              f"WHEN cp < 65536 THEN [224 + cp // 4096, 128 + (cp // 64) % 64, 128 + cp % 64] "
+              f"ELSE [240 + cp // 262144, 128 + (cp // 4096) % 64, 128 + (cp // 64) % 64, 128 + cp % 64] END))")
+    return f"array_to_string(list_transform({bytes_}, lambda b: {table}[b + 1]), '')"
+
+
+MERGES_SQL = f"""(SELECT (i - 1)::INTEGER AS rank, m[i][1] AS "left", m[i][2] AS "right" FROM (
+  SELECT m, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT from_json(json_extract(content, '$.model.merges'), '[["VARCHAR"]]') AS m FROM read_text({S.q(TOKENIZER)}))))"""
+
+
+def _byte_rows() -> str:
+    table = fixed.byte_table()
+    return ", ".join(f"({S.q(table[b])}, {i + 1})" for i, b in enumerate(TK.byte_order()))
+
+
+def encode_sql(src: str, key: str) -> str:
+    """(key, ids): ``text`` of ``src`` as token ids.  A word's symbols stand between chr(1) and chr(2); each step replaces
+    all places of the pair of lowest rank in every word that has one."""
+    pair = 'chr(1) || l || chr(2) || chr(1) || r || chr(2)'
+    return f"""(WITH RECURSIVE src AS (SELECT * FROM {src}),
+      m AS MATERIALIZED (SELECT * FROM {MERGES_SQL}),
+      vocab AS (SELECT b_tok AS token, b_id::INTEGER AS id FROM (VALUES {_byte_rows()}) bv(b_tok, b_id)
+                UNION ALL SELECT "left" || "right", rank + 257 FROM m),
+      occ AS MATERIALIZED (SELECT {key}, unnest(pre) AS w, generate_subscripts(pre, 1) AS pos FROM {pretokens_sql('src', key)}),
+      bpe(step, w, s) AS (
+        SELECT 0, w, array_to_string(list_transform(string_split({byte_encode_sql('w')}, ''), lambda c: chr(1) || c || chr(2)), '')
+        FROM (SELECT DISTINCT w FROM occ)
+        UNION ALL
+        SELECT step + 1, w, replace(s, {pair}, chr(1) || l || r || chr(2)) FROM (
+          SELECT step, w, s, arg_min("left", rank) AS l, arg_min("right", rank) AS r
+          FROM (SELECT step, w, s, unnest(list_zip(y[:-2], y[2:])) AS p
+                FROM (SELECT step, w, s, string_split(s[2:-2], chr(2) || chr(1)) AS y FROM bpe)) x
+          JOIN m ON m."left" = p[1] AND m."right" = p[2] GROUP BY step, w, s)),
+      merged AS (SELECT w, string_split(arg_max(s, step)[2:-2], chr(2) || chr(1)) AS y FROM bpe GROUP BY w),
+      word_ids AS (SELECT w, list(id ORDER BY k) AS ids FROM (SELECT w, unnest(y) AS token, generate_subscripts(y, 1) AS k FROM merged)
+                   JOIN vocab USING (token) GROUP BY w),
+      doc_ids AS (SELECT {key}, flatten(list(ids ORDER BY pos)) AS ids FROM occ JOIN word_ids USING (w) GROUP BY {key})
+    SELECT {key}, coalesce(ids, []::INTEGER[]) AS ids FROM (SELECT DISTINCT {key} FROM src) LEFT JOIN doc_ids USING ({key}))"""
+
+
+ARTICLES_SQL = f"""(SELECT *, split_part(text, chr(10), 1) AS summary,
+    strftime(DATE '2016-12-01' + CAST(doc_id % 900 AS INTEGER), '%m-%d-%Y') AS publish_date,
+    CASE doc_id % 3 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['Staff'] ELSE ['Reporter ' || source, 'Ann O''Neil'] END AS authors
+  FROM (SELECT doc_id, source, source || '.example.com' AS domain, split_part(text, chr(10), 1) AS title,
+               substring(text, length(split_part(text, chr(10), 1)) + 2) AS text FROM documents))"""
+_FIELDS_SQL = f"""(SELECT doc_id, f.field, f.text FROM (SELECT doc_id, unnest([
+    {{'field': 'domain', 'text': domain}}, {{'field': 'title', 'text': title}}, {{'field': 'article', 'text': text}},
+    {{'field': 'summary', 'text': CASE WHEN length(summary) > {fixed.MIN_PIECE_SUMMARY_LENGTH} THEN summary END}},
+    {{'field': 'date', 'text': ([{', '.join(S.q(m) for m in fixed.MONTHS)}])[CAST(publish_date[1:2] AS INTEGER)] || ' ' || publish_date[4:5] || ', ' || publish_date[7:]}},
+    {{'field': 'authors', 'text': CASE WHEN length(array_to_string(authors, ', ')) > {fixed.MIN_AUTHORS_LENGTH} THEN array_to_string(authors, ', ') END}}
+  ]) AS f FROM {ARTICLES_SQL}) WHERE f.text IS NOT NULL)"""
+PIECES_SQL = f"""(SELECT doc_id, any_value(source) AS source, {', '.join(f"max(CASE WHEN field = '{f}' THEN {_wrap_sql('ids', f)} END) AS p_{f}" for f in Q.FIELDS)}
+  FROM {encode_sql(_FIELDS_SQL, 'doc_id, field')} JOIN documents USING (doc_id) GROUP BY doc_id)"""
 
 
 def _u(purpose: str, key: str = "doc_id", seed: int = 0) -> str:
@@ -177,6 +249,13 @@ def _laid(spark: SparkSession, sf: str) -> DataFrame:
     return Q.layout_fields(pieces(spark, sf), "doc_id", size=L + 1)
 
 
+@register("seq_pieces", f"""
+SELECT doc_id, {', '.join(f"array_to_string(p_{f}, ' ') AS {f}" for f in Q.FIELDS)} FROM {PIECES_SQL}""")
+def seq_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """P16 + P17 + P18 + T-5: the id pieces of every article's fields, null where a field is absent."""
+    return pieces(spark, sf).select("doc_id", *[F.array_join(f"p_{f}", " ").alias(f) for f in Q.FIELDS])
+
+
 @register("seq_layout", f"""
 SELECT doc_id, len(input_ids) AS n_ids, array_to_string(input_ids, ' ') AS ids FROM {LAYOUT_SQL}""")
 def seq_layout(spark: SparkSession, sf: str) -> DataFrame:
@@ -300,19 +379,19 @@ def seq_packed(spark: SparkSession, sf: str) -> DataFrame:
                          F.array_join("input_ids", " ").alias("ids"))
 
 
-CLF_L = 64
+CLF_L = fixed.SEQUENCE_LENGTH
 
 
 @register("clf_features", f"""
 WITH p AS {PIECES_SQL}, l AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'human' ELSE 'machine' END AS label FROM labels),
-x AS (SELECT p.doc_id, l.label, list_concat(list_concat(p_domain, p_title, p_article), [{SP['begin_summary']}]) AS toks
+x AS (SELECT p.doc_id, l.label, list_concat(p_domain, p_date, coalesce(p_authors, []::INTEGER[]), p_title, p_article, [{SP['begin_summary']}]) AS toks
       FROM p JOIN l ON p.doc_id = l.doc_id)
 SELECT doc_id, CASE WHEN label = 'machine' THEN 0 ELSE 1 END AS label_ids, 1 AS is_real_example,
   array_to_string(CASE WHEN len(toks) > {CLF_L} THEN toks[len(toks) - {CLF_L} + 1:]
        ELSE list_concat(toks, list_transform(range({CLF_L} - len(toks)), lambda x: 0)) END, ' ') AS input_ids
 FROM x""")
 def clf_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Q10 + Q11: classification ids (domain, title, article pieces) + class token, tail kept."""
+    """Q10 + Q11: classification ids (domain, date, authors, title, article pieces) + class token, tail of 1,024 kept."""
     lab = K.table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "human")
                                               .otherwise("machine").alias("label"))
     p = pieces(spark, sf).join(lab, "doc_id")
@@ -473,54 +552,16 @@ def date_valid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ tokenizer oracles (DuckDB)
-# Java's (?U)\s is the Unicode White_Space set; RE2 has no look-ahead, so the whitespace branch
-# "\s+(?!\S)" is emulated: a run of two or more followed by a token gives up its last character,
-# which joins the next token when it is a space and stands alone otherwise.
-_WSJ = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-_P2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _WSJ[1:-1] + r"\p{L}\p{N}]+|" + _WSJ + "+"
-
-
-def _isws(x: str) -> str:
-    return f"regexp_full_match({x}, {S.q(_WSJ + '+')})"
-
-
-def pretokens_sql(src: str, key: str) -> str:
-    """(key, pre list) with the pre-tokens of ``text``."""
-    return f"""(SELECT {key}, flatten(list_transform(range(1, len(toks) + 1), lambda i:
-       CASE WHEN {_isws('toks[i]')} AND i < len(toks) AND length(toks[i]) >= 2 THEN
-              (CASE WHEN right(toks[i], 1) = ' ' THEN [left(toks[i], length(toks[i]) - 1)]
-                    ELSE [left(toks[i], length(toks[i]) - 1), right(toks[i], 1)] END)
-            WHEN i > 1 AND {_isws('toks[i-1]')} AND length(toks[i-1]) >= 2 AND right(toks[i-1], 1) = ' '
-                 AND NOT {_isws('toks[i]')} THEN [' ' || toks[i]]
-            ELSE [toks[i]] END)) AS pre
-      FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), {S.q(_P2)}) AS toks FROM {src}))"""
-
-
-def byte_encode_sql(w: str) -> str:
-    """UTF-8 bytes of ``w`` (from code points) mapped through the byte table."""
-    table = "[" + ", ".join(S.q(c) for c in fixed.byte_table()) + "]"
-    bytes_ = (f"flatten(list_transform(list_transform(string_split({w}, ''), lambda c: unicode(c)), lambda cp: "
-              f"CASE WHEN cp < 128 THEN [cp] WHEN cp < 2048 THEN [192 + cp // 64, 128 + cp % 64] "
-              f"WHEN cp < 65536 THEN [224 + cp // 4096, 128 + (cp // 64) % 64, 128 + cp % 64] "
-              f"ELSE [240 + cp // 262144, 128 + (cp // 4096) % 64, 128 + (cp // 64) % 64, 128 + cp % 64] END))")
-    return f"array_to_string(list_transform({bytes_}, lambda b: {table}[b + 1]), '')"
-
-
 WORDS_SQL = f"""(SELECT w, {byte_encode_sql('w')} AS enc, count(*) AS cnt
   FROM (SELECT unnest(pre) AS w FROM {pretokens_sql('documents', 'doc_id')}) GROUP BY w)"""
 PAIRS_SQL = f"""(SELECT l AS "left", r AS "right", sum(cnt) AS n FROM (
     SELECT cnt, string_split(enc, '')[i] AS l, string_split(enc, '')[i + 1] AS r
     FROM (SELECT enc, cnt, unnest(range(1, length(enc))) AS i FROM {WORDS_SQL})) GROUP BY ALL)"""
-MERGES_SQL = f"""(SELECT (row_number() OVER (ORDER BY n DESC, "left", "right") - 1)::INTEGER AS rank, "left", "right"
-  FROM {PAIRS_SQL} ORDER BY n DESC, "left", "right" LIMIT {N_MERGES})"""
-
 ORACLES["tok_pair_counts"] = f"SELECT * FROM {PAIRS_SQL}"
 
 
 def _vocab_sql() -> str:
-    table = fixed.byte_table()
-    order = TK.byte_order()
-    bytes_rows = ", ".join(f"({S.q(table[b])}, {i + 1})" for i, b in enumerate(order))
+    bytes_rows = _byte_rows()
     specials = [fixed.PADDING_TOKEN] + [t for f in fixed.SPECIAL_FIELDS for t in (f"<|begin{f}|>", f"<|endof{f}|>")] \
         + [fixed.RESET_TOKEN]
     sp_rows = ", ".join(f"({S.q(t)}, {k})" for k, t in enumerate(specials))
@@ -533,16 +574,5 @@ def _vocab_sql() -> str:
 
 ORACLES["tok_vocab"] = _vocab_sql()
 
-ORACLES["tok_encode"] = f"""
-WITH RECURSIVE m AS {MERGES_SQL},
-w AS (SELECT enc FROM {WORDS_SQL}),
-it(step, enc, s) AS (
-  SELECT 0, enc, enc FROM w
-  UNION ALL
-  SELECT it.step + 1, it.enc, replace(it.s, m."left" || m."right", chr(57344 + it.step))
-  FROM it JOIN m ON m.rank = it.step),
-fin AS (SELECT enc, s FROM it WHERE step = (SELECT count(*) FROM m))
-SELECT doc_id, sum(length(fin.s))::INTEGER AS n_ids FROM (
-  SELECT doc_id, {byte_encode_sql('w')} AS enc FROM (SELECT doc_id, unnest(pre) AS w FROM {pretokens_sql('documents', 'doc_id')})) d
-JOIN fin USING (enc) GROUP BY doc_id
-UNION ALL SELECT doc_id, 0 FROM documents WHERE len(regexp_extract_all(coalesce(text, ''), {S.q(_P2)})) = 0"""
+ORACLES["tok_encode"] = f"""SELECT doc_id, len(ids)::INTEGER AS n_ids, array_to_string(ids, ' ') AS ids
+FROM {encode_sql('(SELECT doc_id, text FROM documents)', 'doc_id')}"""

@@ -92,3 +92,20 @@ def test_bloom_no_false_negatives(spark):
     out = {r["k"]: r["maybe_seen"] for r in B.maybe_seen(probe, "k", bits, 1 << 14, 5).collect()}
     assert all(out[f"key{i}"] for i in range(200))
     assert sum(out[f"key{i}"] for i in range(200, 400)) <= 5      # ~1e-5 expected false positives each
+
+
+def test_long_chain_takes_logarithmic_steps(spark):
+    """Row i shares k1 with row i - 1 or k2 with row i + 1, so the sequential walk alternates over 10,000 rows."""
+    n = 10_000
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(n)]
+    assert run(spark, rows) == sequential(rows)
+    assert D.LAST_ROUNDS[-1] <= 30
+
+
+def test_chains_with_branches_and_crowds(spark):
+    rnd = random.Random(11)
+    rows = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(300)]                         # a chain
+    rows += [(1000 + i, f"a{rnd.randint(0, 150)}", f"c{i // 3}") for i in range(200)]         # rows that hang on it
+    rows += [(2000 + i, "hot", f"b{rnd.randint(0, 400)}") for i in range(300)]                # one key with many rows
+    rows += [(3000 + i, f"d{i // 2}", f"e{(i + 1) // 2}") for i in rnd.sample(range(99), 80)]  # broken chains
+    assert run(spark, rows) == sequential(rows)

@@ -14,7 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 FAST = ["crawl_url_filter", "crawl_extract", "crawl_domain_counts", "doc_clean", "doc_dedupe", "dedupe_crowded",
         "doc_merge", "eval_paired", "eval_balance", "sample_top_p", "sample_draw", "lm_predict",
-        "seq_layout", "seq_build", "clf_features", "seq_positions"]
+        "tok_encode", "seq_pieces", "seq_layout", "seq_build", "clf_features", "seq_positions"]
 FULL = os.environ.get("NEWSLOOM_FULL") == "1"
 SF = SF_CHECK if FULL else SF_SMALL
 
