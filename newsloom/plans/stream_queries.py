@@ -48,7 +48,7 @@ def _run(spark: SparkSession, sf: str) -> str:
     stream = (spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_part)
               .option("recursiveFileLookup", "true").parquet(f"{root}/in"))
     q = ST.stream_dedupe(stream, f"{root}/store", ["k_end", "k_start"], "doc_id", f"{root}/ckpt")
-    q.awaitTermination()
+    ST.finish(q)
     return root
 
 
@@ -64,15 +64,18 @@ KEPT_WITH_SOURCE = K.greedy_sql(
     f"FROM documents)", "doc_id", "k_end", "k_start")
 
 
-@register("stream_counts", f"SELECT source, count(*) AS n_articles FROM {KEPT_WITH_SOURCE} GROUP BY source")
+ARCHIVE = "src0"      # stands for the archive scrape, whose rejected rows are no misses
+
+
+@register("stream_counts", f"""
+SELECT d.source, count(k.doc_id) AS n_articles, count(*) FILTER (k.doc_id IS NULL AND d.source <> '{ARCHIVE}') AS n_misses
+FROM documents d LEFT JOIN {KEPT_WITH_SOURCE} k ON k.doc_id = d.doc_id GROUP BY d.source""")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """ST2: running per-source counts of the kept stream (final state of the update stream)."""
+    """ST2 + A1 + A2: running hits and misses per source over the decided rows, upserted into a table."""
     root = _run(spark, sf)
-    kept_schema = ST.read_kept(spark, f"{root}/store").drop("batch_id").schema
-    kept_stream = (spark.readStream.schema(kept_schema).option("recursiveFileLookup", "true")
-                   .parquet(f"{root}/store/kept"))
-    name = f"counts_{uuid.uuid4().hex[:8]}"
-    q = (ST.stream_counts(kept_stream, "source").writeStream.outputMode("complete").format("memory")
-         .queryName(name).option("checkpointLocation", f"{root}/ckpt_counts").trigger(availableNow=True).start())
+    schema = spark.read.parquet(f"{root}/store/decided").drop("batch_id").schema
+    decided = (spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4)
+               .parquet(f"{root}/store/decided"))
+    q = ST.stream_counts(decided, f"{root}/counts", f"{root}/ckpt_counts", "source", "source", ARCHIVE)
     q.awaitTermination()
-    return spark.table(name)
+    return ST.read_counts(spark, f"{root}/counts")
