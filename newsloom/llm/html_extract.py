@@ -34,7 +34,8 @@ TALLY = 100_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?=>)|[^>]*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+_TEXT = re.compile(r"()()()()(.+)", re.S)          # text where _TOKEN has it
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins kbd label mark q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr del link meta hr".split())
@@ -49,6 +50,18 @@ _SCOPES = frozenset("ul ol table dl article section main div body nav aside foot
 _BLOCK_ENDS_P = frozenset("article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header main nav ol pre section table ul".split())
 
 
+def _matches(source: str) -> Iterator[re.Match]:
+    """Matches of _TOKEN in time linear in the page: a tag's attributes are read one way only (up to the first ``>`` if
+    their quotes don't close), and tags are looked for only up to the last ``>``; what follows is text."""
+    last, m = source.rfind(">") + 1, None
+    for m in _TOKEN.finditer(source, 0, last):
+        yield m
+    if m is not None and (m[0].startswith("<!--") and not m[0].endswith("-->")
+                          or m[1] and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.I)):
+        return          # the rest lies in an open comment or element
+    yield from _TEXT.finditer(source[last:].partition("<!--")[0])
+
+
 def _element(tag: str, attrs: str) -> tuple[str, bool]:
     """(token name of an element, whether it is furniture by name, class, id or role)."""
     if not attrs.strip():
@@ -76,7 +89,7 @@ def parse(source: str) -> list[tuple[int, tuple[int, ...], bool, bool, str]]:
     def pop(to: int) -> None:
         del path[to:], hashes[to:], off[to:], within[to:], tags[to:]
 
-    for m in _TOKEN.finditer(source):
+    for m in _matches(source):
         raw, close, tag, attrs, text = m.group(1), m.group(2), m.group(3), m.group(4), m.group(5)
         if text is not None:
             runs.append((block, hashes[-1], off[-1], within[-1], text))
