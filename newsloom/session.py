@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,10 +72,46 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("tables of the innermost table_scope", default=None)
+
+
+@contextmanager
+def table_scope() -> Iterator[list[str]]:
+    """The paths of the tables that ``cut_lineage`` writes inside the block (an inner block keeps its own)."""
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of ``cut_lineage`` that nothing reads any more, and lets Spark's cleaner drop the shuffle files
+    of plans that are gone."""
+    import gc
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The folder's full URI: a bare path lies on Hadoop's default file system, as for Spark's own readers and writers."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 _SHIPPED: set[str] = set()
 
 
