@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.session import checkpoint_dir, cut_lineage, ship_package  # noqa: F401  (re-exported)
+from newsloom.session import checkpoint_dir, cut_lineage, drop_tables, qualified, ship_package, table_scope  # noqa: F401  (re-exported)
 
 # bytes table: A-Z lower-cased, ASCII characters other than letters and digits become a space
 ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32

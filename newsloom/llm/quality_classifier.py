@@ -129,10 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     for y in (0, 1):
         want = min(sizes.get(y, 0), max(fit_rows // 2, fit_rows - sizes.get(1 - y, 0)))
         if want:
-            # ids whose hash is below the wanted share, a few more than asked for; then a bounded number
+            # the ids of the smallest hashes, so the sample doesn't depend on partitions or retries; the share below
+            # which they lie (a few more than asked for) keeps the sort small.  One text of an id: the smallest
             cut = min(2**30, int(2**30 * 1.2 * want / sizes[y]) + 1)
-            ids = one.where((F.col("y") == y) & (F.pmod(F.xxhash64("k"), F.lit(2**30)) < cut)).select("k").limit(want)
-            rows += [(y, bytes(r["data"])) for r in known.join(F.broadcast(ids), "k").limit(want).select("data").collect()]
+            place = F.pmod(F.xxhash64("k"), F.lit(2**30))
+            ids = one.where((F.col("y") == y) & (place < cut)).orderBy(place, "k").select("k").limit(want)
+            texts = known.join(F.broadcast(ids), "k").groupBy("k").agg(F.min("data").alias("data")).collect()
+            rows += [(y, bytes(r["data"])) for r in sorted(texts, key=lambda r: r["k"])]
     return fit([d for _, d in rows], np.array([y for y, _ in rows], np.float32), prior)
 
 
@@ -142,7 +145,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Null, empty and wordless texts and texts similar to nothing labelled get the prior (label 1's share); several
     labels of an id count as their largest; rows without id, label or text aren't learnt from; without any label every
-    score is 0.5; repeated rows are each scored.
+    score is 0.5; repeated rows are each scored, and of several texts of a labelled id the smallest is learnt from; equal
+    hashes in the sample go by id; a very long text is one vector like any other.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, fit_rows))
     more = [row_col] if row_col else []
