@@ -8,8 +8,9 @@ A folder holds ``dictionary.zstd``, ``manifest.json`` and shards in ascending do
 
 so one document is read with two short reads (``read_document``).  The dictionary is trained on a bounded
 sample of serialized id arrays (SAMPLE_DOCS, SAMPLE_BYTES) and only shapes compression.  Frames are written once
-as a table, ranged by document id and streamed into shards; a shard appears by an atomic rename, so a repeated
-task replaces it with the same bytes.  The driver handles one row per shard.
+as a table, ranged by document id and streamed into shards; a shard appears by a rename, and a repeated task replaces
+it with the same bytes.  The driver handles one row per shard.  Folders without a scheme lie on Hadoop's default file
+system (``qualified``); tasks get the full URI.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, id_and_text, map_arrow, pylist, slices, table
+from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, id_and_text, map_arrow, pylist, qualified, slices, table
 from newsloom.llm.tokens import encoder
 
 MAGIC = b"NLIDSEQ1"
@@ -40,11 +41,23 @@ LEVEL = 3
 
 
 def file_system(uri: str):
-    """(pyarrow file system, path) of a folder; a bare path is local."""
+    """(pyarrow file system, path) of a folder's full URI; a bare path is local (see ``qualified``)."""
     from pyarrow import fs
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def publish(store, draft: str, target: str) -> None:
+    """Renames a finished draft; where the store refuses an existing target (a repeated task), that one goes first."""
+    from pyarrow import fs
+    try:
+        store.move(draft, target)
+    except OSError:
+        if store.get_file_info(target).type != fs.FileType.File:
+            raise
+        store.delete_file(target)
+        store.move(draft, target)
+
+
 def width_of(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 65_536 else "<u4"
 
@@ -126,7 +139,7 @@ def write_shards(encoded: DataFrame, folder: str, dictionary: bytes, kind: str)
         total = sum(x[3] for x in index)
         out.write(np.array(index, INDEX).tobytes() + np.array([len(index), total, at, width], "<u8").tobytes() + MAGIC)
         out.close()
-        store.move(draft, posixpath.join(root, name))
+        publish(store, draft, posixpath.join(root, name))
         yield batch(schema, {"shard": [shard], "file": [name], "docs": [len(index)], "ids": [total]})
 
     size = encoded.agg(F.sum(F.length("frame")).alias("b")).first()["b"] or 0
@@ -141,9 +154,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 0,
     """Encodes every document and writes dictionary, shards and manifest into a shared folder; the manifest.
 
     Null or empty texts are the end id alone; rows are in ascending (doc_id, length, content) order, null ids first;
-    repeated rows are each written; an empty table gives a manifest without shards.
+    repeated rows are each written; an empty table gives a manifest without shards; a very long text is one frame.
+    The index holds a null id as -2**63, so a document of that id is read back with a null one.
     """
     from tokenizers import Tokenizer
+    folder = qualified(docs.sparkSession, folder)
     data = id_and_text(docs, id_col, text_col).withColumnRenamed(id_col, "doc_id")
     kind = width_of(max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1))
     store, root = file_system(folder)
@@ -200,6 +215,7 @@ def read_document(folder: str, shard: str, position: int) -> tuple[int, np.ndarr
 def read_digests(spark, folder: str, manifest: dict) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) read back from the shards, one task per shard."""
     import zstandard
+    folder = qualified(spark, folder)
     digest = manifest["dictionary_sha256"]
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
     listed = spark.createDataFrame([(s["file"], s["start"]) for s in manifest["shards"]], "file string, start long")
