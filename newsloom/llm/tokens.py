@@ -10,8 +10,9 @@ encoded by the library once per worker and cache filling.  Which cuts are safe f
 * ``whole``: anything else is encoded as a whole.
 
 Where the file is a plain merge table with ids in merge order (``ranked``, ``ranked_words``), tiktoken runs the same
-merges over the file's own vocabulary in a fraction of the time: on whole texts for ``byte``, on distinct new pieces for
-``word``.  Texts and pieces outside ``safe`` and ``_PLAIN``, and those with an added token's string, go to the library.
+merges over the file's own vocabulary in a fraction of the time.  Texts outside ``safe`` (``byte``) or ``_PLAIN``
+(``word``), and those with an added token's string, are cut into pieces; of these the new ones in ``_PLAIN`` are encoded
+likewise and all others by the library.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import array
 import json
 import re
+import unicodedata
 
 import numpy as np
 
@@ -31,7 +33,9 @@ _RARE = re.compile(f"[{_SPACE.replace(' ', '', 1).replace(chr(9) + '-' + chr(13)
 JOINED = 64          # pieces encoded in one call, an added token between them
 _HIGH = re.compile("[^\x00-\u2fff]")
 _RUN = re.compile(r"\s{1000}")
-_PLAIN = re.compile("[\x20-\u02ff]*\\Z")          # unchanged by NFC, and without the marks END and NEXT
+# unchanged by NFC, lower case below LIMIT, and without the marks END and NEXT
+LIMIT = 0x300
+_PLAIN = re.compile("[\t\n\r\x20-\u012f\u0131-\u0239]*\\Z")
 END, NEXT = "\x01", "\x02"                      # the end of a word; a word of its own between two pieces
 CACHE = 600_000      # pieces in a generation of a worker's cache; two generations are kept
 
@@ -99,7 +103,6 @@ def safe(text: str) -> bool:
 def ranked_words(path: str):
     """(pattern of words, tiktoken encoding of words that end with END), or None if the file isn't a merge table over
     words with a suffix on the last byte and ids in merge order, NFC and lower-casing before it."""
-    import regex
     import tiktoken
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -121,8 +124,14 @@ def ranked_words(path: str):
         ranks[bytes(back[c] for c in stem) + (END.encode() if stem != n else b"")] = k
     if len(ranks) != len(names):
         return None
+    # the classes of letters and numbers, as far as _PLAIN goes
     words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-    return (regex.compile(f"({words})"),
+    for kind in "LN":
+        own = "".join(re.escape(chr(c)) for c in range(LIMIT) if unicodedata.category(chr(c))[0] == kind)
+        words = words.replace(rf"\p{{{kind}}}", own)
+    if r"\p" in words:
+        return None
+    return (re.compile(words),
             tiktoken.Encoding("words", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={}))
 
 
@@ -193,9 +202,9 @@ class Encoder:
         plain = [bool(_PLAIN.match(x)) and not (self.splitter.added and self.splitter.added.search(x)) for x in texts]
         other = iter(self.pieces([x for x, p in zip(texts, plain) if not p]))
         pattern, encoding = self.words
-        # every word gets its end mark, white space between words goes, and NEXT stands after each piece
-        joined = pattern.sub(rf"\1{END}", f" {NEXT} ".join([x for x, p in zip(texts, plain) if p] + [""]).lower())
-        ids = np.array(encoding.encode_ordinary("".join(joined.split())), np.uint32)
+        # every word gets its end mark, and NEXT stands after each piece
+        joined = pattern.findall(f" {NEXT} ".join([x for x, p in zip(texts, plain) if p] + [""]).lower())
+        ids = np.array(encoding.encode_ordinary(END.join([*joined, ""])), np.uint32)
         at = (4 * np.flatnonzero(ids == encoding.encode_ordinary(NEXT + END)[0])).tolist()
         data = ids.tobytes()
         own = (data[lo:hi] for lo, hi in zip([0, *(k + 4 for k in at)], at))
@@ -207,6 +216,12 @@ class Encoder:
             fast = [safe(t) and not (added and added.search(t)) for t in texts]
             other = iter(self.remembered([t for t, f in zip(texts, fast) if not f]))
             return [array.array("I", self.ranked.encode_ordinary(t)).tobytes() if f else next(other) for t, f in zip(texts, fast)]
+        if self.words is not None:
+            added, (pattern, encoding) = self.splitter.added, self.words
+            fast = [bool(_PLAIN.match(t)) and not (added and added.search(t)) for t in texts]
+            other = iter(self.remembered([t for t, f in zip(texts, fast) if not f]))
+            return [array.array("I", encoding.encode_ordinary(END.join([*pattern.findall(t.lower()), ""]))).tobytes()
+                    if f else next(other) for t, f in zip(texts, fast)]
         return self.remembered(texts)
 
     def remembered(self, texts: list[str]) -> list[bytes]:
