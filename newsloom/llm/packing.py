@@ -71,6 +71,21 @@ def first_basis(weight: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.n
     return patterns, level
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots.  Elementwise on purpose, like the products with it below: numpy's BLAS
+    threads can hang in a process that has forked, as a Spark driver does to start its JVM."""
+    n = len(matrix)
+    work = np.hstack([matrix, np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.abs(work[k:, k]).argmax())
+        work[[k, pivot]] = work[[pivot, k]]
+        work[k] /= work[k, k]
+        others = work[:, k].copy()
+        others[k] = 0
+        work -= others[:, None] * work[k]
+    return work[:, n:]
+
+
 def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, float]]:
     """Basic patterns (pieces per class) of the linear program and how often each is used; ``weight`` descends.
 
@@ -79,7 +94,7 @@ def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> list
     """
     n = len(weight)
     patterns, level = first_basis(weight, demand, room)
-    inverse = np.linalg.inv(patterns)
+    inverse = inverted(patterns)
     least = float(demand @ weight) / room
     for _ in range(ROUNDS):
         dual = np.maximum(inverse.sum(axis=0), 0)
@@ -87,7 +102,7 @@ def column_generation(weight: np.ndarray, demand: np.ndarray, room: int) -> list
         least = max(least, float(dual @ demand) / value)
         if level.sum() <= (1 + ENOUGH) * least:
             break
-        step = inverse @ count
+        step = (inverse * count).sum(axis=1)
         up = step > 1e-9
         ratio = np.full(n, np.inf)
         ratio[up] = level[up] / step[up]
