@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import decontaminate, near_dedup, packing, quality_classifier, quality_rules
-from newsloom.llm.common import cut_lineage, table
+from newsloom.llm.common import cut_lineage, drop_tables, table, table_scope
 
 
 ROW = "_pipeline_row"
@@ -78,8 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of ``sf_dir``.  A stage's own tables and its input go once its output is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        with table_scope() as own:
+            result = stage(spark, docs, sf_dir)
+            with table_scope() as output:
+                docs = cut_lineage(result)
+        del result
+        drop_tables(spark, own + before)
+        before = output
     return STAGES[-1][1](spark, docs, sf_dir)
