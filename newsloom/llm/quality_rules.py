@@ -4,12 +4,12 @@ Only DataFrame functions run here.  One pass over the texts writes, per document
 distinct normalised lines as (hash, words) pairs to the shared checkpoint folder; everything after it works
 on that small table.
 
-A line is frequent on its host when more than ``max(MIN_DOCS, MIN_SHARE of the host's documents)`` documents
-hold it and these documents differ: their word counts fall in ``MIN_LENGTHS`` or more of 64 residue classes.
-The second condition keeps the lines of copied and edited documents (same length, or nearly) apart from
-boilerplate.  Both are sums and bit unions, combined before the shuffle, so a line in a third of all
-documents costs one row per task.  Frequent lines are removed; a document with fewer than ``MIN_WORDS`` words
-left is depleted and rejected.
+A line is frequent on its host when more than ``max(MIN_DOCS, MIN_SHARE of the host's documents)`` distinct
+documents hold it.  Exact copies (equal texts on a host, by a 64-bit hash) are one document in both counts, so
+copying a text doesn't make its lines boilerplate; texts that differ anywhere are different documents.  The counts
+are over distinct (host, line, text) first, spread by all three, so a line in a third of all documents is counted
+by many tasks.  Frequent lines are removed; a document with fewer than ``MIN_WORDS`` words left is depleted and
+rejected.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ REPEAT_SPAN = 8
 REPEAT_SHARE = 30       # per cent of words in repeated windows
 MIN_DOCS = 20
 MIN_SHARE = 0.01
-MIN_LENGTHS = 24
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -80,23 +79,22 @@ def base_failed() -> Column:
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str, row_col: str | None = None) -> DataFrame:
     """The written per-document table: row (``row_col`` or a new key), doc_id, host, base counts, lines (distinct
-    normalised lines)."""
+    normalised lines), text_hash."""
     row = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"),
                       F.col(text_col).alias("text"), row.alias("row"))
     lines = line_hashes(F.coalesce(F.col("text"), F.lit("")))
-    df = base_counts(own, "text").withColumn("all_lines", lines).drop("text")
+    df = base_counts(own, "text").withColumns(
+        {"all_lines": lines, "text_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))}).drop("text")
     return cut_lineage(df)
 
 
-def frequent_lines(m: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE,
-                   min_lengths: int = MIN_LENGTHS) -> DataFrame:
+def frequent_lines(m: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, h) of the lines above the limits."""
-    hosts = m.groupBy("host").agg(F.count("*").alias("host_docs"))
-    distinct = m.select("host", "n_words", F.explode(F.array_distinct(F.transform("all_lines", lambda s: s["h"]))).alias("h"))
-    held = distinct.groupBy("host", "h").agg(
-        F.count("*").alias("docs"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("n_words", F.lit(64)).cast("int"))).alias("lengths"))
-    return (held.where((F.col("docs") > min_docs) & (F.bit_count("lengths") >= min_lengths)).join(hosts, "host")
+    hosts = m.groupBy("host").agg(F.countDistinct("text_hash").alias("host_docs"))
+    held = (m.select("host", "text_hash", F.explode(F.array_distinct(F.transform("all_lines", lambda s: s["h"]))).alias("h"))
+            .groupBy("host", "h").agg(F.countDistinct("text_hash").alias("docs")))
+    return (held.where(F.col("docs") > min_docs).join(hosts, "host")
             .where(F.col("docs") > min_share * F.col("host_docs")).select("host", "h"))
 
 
@@ -104,8 +102,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document row: doc_id, the base counts, n_lines, n_removed_lines, n_left_words, base_failed, kept.
 
     Null or empty texts have no words, so they fail the base rules; a null host is the host ''; lines without a
-    word are never counted; repeated rows of a document count as documents; hosts of fewer than MIN_DOCS documents
-    have no frequent lines.
+    word are never counted; repeated rows of a text on a host count once, and each gets its own row; at exactly a limit a
+    line is not frequent; hosts of at most MIN_DOCS different texts have no frequent lines; very long texts and lines are
+    read whole.
     """
     m = measured(docs, id_col, text_col, host_col)
     return verdicts(m, frequent_lines(m))
@@ -158,10 +157,10 @@ win AS (SELECT rid, k, array_to_string(list_slice(w, k, k + 7), ' ') AS s
         FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS k FROM w WHERE len(w) >= 8)),
 dup AS (SELECT rid, s FROM win GROUP BY rid, s HAVING count(*) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT win.rid, unnest(range(k, k + 8)) AS p FROM win JOIN dup USING (rid, s)) GROUP BY rid),
-lines AS (SELECT rid, host, len(w) AS nw, unnest(nl) AS line FROM w),
-freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT rid) AS docs, count(DISTINCT nw % 64) AS lengths FROM lines GROUP BY host, line)
-         JOIN (SELECT host, count(*) AS host_docs FROM d GROUP BY host) USING (host)
-         WHERE docs > {MIN_DOCS} AND lengths >= {MIN_LENGTHS} AND docs > {MIN_SHARE} * host_docs),
+lines AS (SELECT rid, host, t, unnest(nl) AS line FROM w),
+freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS docs FROM lines GROUP BY host, line)
+         JOIN (SELECT host, count(DISTINCT t) AS host_docs FROM d GROUP BY host) USING (host)
+         WHERE docs > {MIN_DOCS} AND docs > {MIN_SHARE} * host_docs),
 gone AS (SELECT rid, count(*) AS n, sum(len(string_split(line, ' '))) AS words FROM lines JOIN freq USING (host, line) GROUP BY rid),
 o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

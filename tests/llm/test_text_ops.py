@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination, rules, extraction, licences, scores and classifier on small fixtures."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -139,6 +140,41 @@ def test_rules_remove_frequent_lines_and_spare_copies(spark):
     assert quality_rules.quality_rules(docs(spark, rows).limit(0)).collect() == []
 
 
+def test_rules_reject_stubs_of_equal_length(spark):
+    rng = np.random.default_rng(16)
+    notices = "\n".join(" ".join(words(rng, 9)) for _ in range(3))
+    rows = [(k, f"{notices}\npage {k:04d}") for k in range(3000)]                       # the same notices, one number each
+    copy = "\n".join(" ".join(words(rng, 12)) for _ in range(5))
+    long = "\n".join(" ".join(words(rng, 50, 10**6)) for _ in range(400))              # a very long text
+    rows += [(4000 + k, copy) for k in range(60)] + [(5000, long + "\n" + notices), (5001, notices.replace(" ", "  ") + "\n" + copy)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(not got[k].base_failed and not got[k].kept and got[k].n_left_words == 0 for k in range(3000))
+    assert all(got[4000 + k].kept and got[4000 + k].n_removed_lines == 0 for k in range(60))
+    assert got[5000].kept and got[5000].n_removed_lines == 3 and got[5001].kept and got[5001].n_left_words == 60
+
+
+def test_rules_count_exactly_above_the_limits(spark):
+    """Brute force of the line rule on random lines, hosts and copies, with lines at and beside the limit."""
+    rng = np.random.default_rng(17)
+    common = [" ".join(words(rng, 8)) for _ in range(40)]
+    rows = []
+    for k in range(900):
+        own = [common[j] for j in np.unique(rng.integers(0, 40, 3))] + [" ".join(words(rng, 25))]
+        rows.append((k, "\n".join(own), "a" if k % 3 else None))
+    rows += [(1000 + k, *rows[k][1:]) for k in range(0, 900, 2)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for host in ("a", None):
+        texts = {t for _, t, h in rows if h == host}
+        lines = lambda t: [re.sub("[0-9]", "0", x) for x in t.split("\n")]
+        held = Counter(x for t in texts for x in set(lines(t)))
+        frequent = {x for x, n in held.items() if n > max(quality_rules.MIN_DOCS, quality_rules.MIN_SHARE * len(texts))}
+        assert frequent
+        for i, t, h in rows:
+            if h == host:
+                assert got[i].n_removed_lines == sum(x in frequent for x in lines(t))
+
+
 def _page(k, body, extra=""):
     return (f"<html><head><title>t{k}</title><style>p{{x}}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home {k}</a></ul></nav>"
             f"<div class='cookie-notice'>Cookies {k}</div><!-- c --><div class=ad>Buy {k}</div><article><h1>Title {k}</h1>{body}"
