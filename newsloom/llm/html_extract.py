@@ -1,14 +1,19 @@
 """HTML extraction by equivalence-class template deduction.
 
 1. occurrence vectors: every element path (tags with classes and ids) and every text run is a token; for each host a
-   token's vector of counts over the host's pages is kept as (pages, occurrences, xor of hashed (page, count)), which
-   merge in any order, so a host with a third of all pages is combined before the shuffle;
+   token's vector of counts over the host's pages is kept as (pages, occurrences, two sums of 32-bit hashes of
+   (page, count)), which merge in any order, so a host with a third of all pages is combined before the shuffle;
 2. classes: tokens of a host with equal vectors form an equivalence class.  A class is valid when it covers SUPPORT of
    the host's pages and either occurs once on each or has several tokens; a text run is valid when it stands on
-   RUN_SUPPORT of the pages (fixed text).  Valid element tokens nest by their paths into the host's template;
+   RUN_SUPPORT of the pages (fixed text).  Valid element tokens nest by their paths into the host's template: one whose
+   parent isn't in the template isn't either;
 3. slots: a text run belongs to the slot of its innermost template element.  Slots of menus, headers, footers, sidebars,
-   notices, adverts, forms and comments (by element, class, id or role) and fixed text are template or furniture; where the
-   template has an article or main element, only slots within it are content.  The rest is the page's text.
+   notices, adverts, forms and comments are furniture; where the template has an article or main element, only slots within
+   it are content.  Fixed text leaves the content unless it is half of it or more by characters, as on hosts of near copies.
+
+An element is furniture by its name, or by a furniture word in its class, id or role.  The words are a hint: html and body
+never take it, article and main only from a whole class name, headings and text blocks not from their id, and the first
+article or main voids what its ancestors took from a part of a class name (``has-sidebar``).
 
 Hosts with fewer than MIN_PAGES pages have no template; their pages use the same slot rules on their own elements.
 """
@@ -18,6 +23,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from itertools import takewhile
 
 import pyarrow as pa
 import xxhash
@@ -36,15 +42,17 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|title|iframe|select|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?=>)|[^>]*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
 _TEXT = re.compile(r"()()()()(.+)", re.S)          # text where _TOKEN has it
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img input ins kbd label mark q rp rt ruby s samp "
                     "small span strike strong sub sup time tt u var wbr del link meta hr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_FURNITURE = frozenset("head nav footer aside form menu dialog button fieldset figcaption".split())
+_FURNITURE = frozenset("head nav footer aside form menu dialog button fieldset".split())
 _WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
                    "breadcrumb breadcrumbs cookie cookies consent notice notices alert popup modal overlay newsletter subscribe subscription signup "
                    "login comment comments discussion disqus reply replies respond footer header masthead share sharing social related recommended "
                    "pagination pager widget toolbar search complementary contentinfo navigation".split())
+_INLINE_WORDS = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo share sharing social".split())
+_NO_ID_HINT = frozenset("h1 h2 h3 h4 h5 h6 p li td th dt dd pre blockquote figure figcaption".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _SCOPES = frozenset("ul ol table dl article section main div body nav aside footer header blockquote".split())
 _BLOCK_ENDS_P = frozenset("article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header main nav ol pre section table ul".split())
@@ -62,20 +70,31 @@ def _matches(source: str) -> Iterator[re.Match]:
     yield from _TEXT.finditer(source[last:].partition("<!--")[0])
 
 
-def _element(tag: str, attrs: str) -> tuple[str, bool]:
-    """(token name of an element, whether it is furniture by name, class, id or role)."""
+def _element(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """(token name of an element, whether it is furniture, whether only by a part of a class, id or role name)."""
+    certain, hint = tag in _FURNITURE, False
     if not attrs.strip():
-        return tag, tag in _FURNITURE
-    names, off = [], tag in _FURNITURE
+        return tag, certain, False
+    names = []
     for key, *values in _ATTR.findall(attrs):
-        value = next((v for v in values if v), "").lower()
         key = key.lower()
-        if key in ("class", "id", "role"):
-            names.append(re.sub(r"[0-9]+", "0", value))
-            off = off or not _WORDS.isdisjoint(re.split(r"[^a-z]+", value))
-        else:
-            off = off or (key == "hidden" or value == "true")
-    return ".".join([tag, *sorted(names)]), off
+        if key not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        value = next((v for v in values if v), "").lower()
+        if key in ("hidden", "aria-hidden"):
+            certain = certain or key == "hidden" or value == "true"
+            continue
+        names.append(re.sub(r"[0-9]+", "0", value))
+        if tag in ("html", "body") or key == "id" and tag in _NO_ID_HINT:
+            continue
+        certain = certain or not _WORDS.isdisjoint(value.split())
+        hint = hint or tag not in ("article", "main") and not _WORDS.isdisjoint(re.split(r"[^a-z]+", value))
+    return ".".join([tag, *sorted(names)]), certain or hint, hint and not certain
+
+
+def _inline_furniture(attrs: str) -> bool:
+    """Whether a class of an inline element is one of an advert or of share links."""
+    return any(key.lower() == "class" and not _INLINE_WORDS.isdisjoint("".join(values).lower().split()) for key, *values in _ATTR.findall(attrs))
 
 
 def parse(source: str) -> list[tuple[int, tuple[int, ...], bool, bool, str]]:
@@ -83,15 +102,18 @@ def parse(source: str) -> list[tuple[int, tuple[int, ...], bool, bool, str]]:
     Element tokens without text are also listed, with an empty text."""
     runs = []
     path, hashes, off, within = [""], [()], [False], [False]
-    tags = [""]
-    block = 0
+    tags, sure = [""], [False]
+    block, rooted = 0, False
+    skipped, depth = "", 0          # the inline advert or share link that is open
 
     def pop(to: int) -> None:
-        del path[to:], hashes[to:], off[to:], within[to:], tags[to:]
+        del path[to:], hashes[to:], off[to:], within[to:], tags[to:], sure[to:]
 
     for m in _matches(source):
         raw, close, tag, attrs, text = m.group(1), m.group(2), m.group(3), m.group(4), m.group(5)
         if text is not None:
+            if skipped:
+                continue
             runs.append((block, hashes[-1], off[-1], within[-1], text))
             continue
         if raw is not None or tag is None:
@@ -100,10 +122,18 @@ def parse(source: str) -> list[tuple[int, tuple[int, ...], bool, bool, str]]:
             continue
         tag = tag.lower()
         if tag in _INLINE:
+            if skipped:
+                depth += (tag == skipped) * (-1 if close else 1)
+                skipped = skipped if depth else ""
+                continue
+            if not close and tag not in _VOID and "class" in attrs.lower() and _inline_furniture(attrs):
+                skipped, depth = tag, 1
+                continue
             if tag in ("br", "wbr", "hr"):
                 runs.append((block, hashes[-1], off[-1], within[-1], " "))
                 block += tag == "hr"
             continue
+        skipped, depth = "", 0
         block += 1
         if close:
             for k in range(len(tags) - 1, 0, -1):
@@ -120,12 +150,20 @@ def parse(source: str) -> list[tuple[int, tuple[int, ...], bool, bool, str]]:
                 break
             if tags[k] in _SCOPES:
                 break
-        name, furniture = _element(tag, attrs)
-        furniture = furniture or (tag == "header" and not within[-1])
+        name, furniture, hint = _element(tag, attrs)
+        if tag == "header" and not within[-1]:
+            furniture, hint = True, False
+        root = tag in ("article", "main") or ".main" in name
+        if tag in ("article", "main") and not rooted and not furniture:
+            # the first article or main: its ancestors are furniture only if one is by more than a hint
+            if off[-1] and not sure[-1]:
+                off[:] = [False] * len(off)
+            rooted = not off[-1]
         path.append(path[-1] + "/" + name)
         hashes.append((*hashes[-1], xxhash.xxh64_intdigest(path[-1]) - 2**63))
         off.append(off[-1] or furniture)
-        within.append(within[-1] or tag in ("article", "main") or ".main" in name)
+        sure.append(sure[-1] or furniture and not hint)
+        within.append(within[-1] or root)
         tags.append(tag)
         runs.append((block, hashes[-1], off[-1], within[-1], ""))
     return runs
@@ -175,7 +213,7 @@ def host_of(url):
 def templates(data: DataFrame) -> DataFrame:
     """(host, elements, content, fixed): the template of every host with enough pages, as arrays of token hashes."""
     schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("kind", pa.int32()), ("pages", pa.int64()),
-                        ("total", pa.int64()), ("vector", pa.int64())])
+                        ("total", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -192,22 +230,24 @@ def templates(data: DataFrame) -> DataFrame:
                 marks += [(t, 2 if t in content else 1, n) for t, n in elements.items()]
                 marks += [(t, 3, n) for t, n in texts.items()]
                 for token, kind, n in marks:
-                    e = held.setdefault((host, token, kind), [0, 0, 0])
+                    e = held.setdefault((host, token, kind), [0, 0, 0, 0])
                     e[0] += 1
                     e[1] += n
-                    e[2] ^= xxhash.xxh64_intdigest(b"%d %d" % (row, n)) - 2**63
+                    x = xxhash.xxh64_intdigest(b"%d %d" % (row, n))
+                    e[2] += x & 0xFFFFFFFF
+                    e[3] += x >> 32
                 if len(held) > TALLY:
                     yield sent()
         if held:
             yield sent()
 
-    vectors = (map_arrow(data, run, "host string, token long, kind int, pages long, total long, vector long")
-               .groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector")))
+    vectors = (map_arrow(data, run, "host string, token long, kind int, pages long, total long, low long, high long")
+               .groupBy("host", "token", "kind").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("low").alias("low"), F.sum("high").alias("high")))
     # tokens on fewer pages than any support needs are dropped before the classes are formed
     often = cut_lineage(vectors.where((F.col("pages") >= MIN_PAGES) & ((F.col("kind") != 3) | (F.col("pages") >= RUN_MIN_PAGES))))
     sizes = often.where("kind = 0").select("host", F.col("pages").alias("host_pages"))
     placed = often.where("kind > 0").join(sizes, "host").where(F.col("pages") >= F.when(F.col("kind") == 3, RUN_SUPPORT).otherwise(SUPPORT) * F.col("host_pages"))
-    classes = placed.groupBy("host", "pages", "vector").agg(
+    classes = placed.groupBy("host", "pages", "low", "high").agg(
         F.collect_list(F.struct("token", "kind", "total")).alias("members"))
     valid = (classes.select("host", "pages", F.size("members").alias("n"), F.explode("members").alias("m"))
              .where((F.col("m.kind") == 3) | (F.col("n") > 1) | (F.col("m.total") == F.col("pages"))))
@@ -225,20 +265,22 @@ def main_text(source: str, elements: set[int], content: set[int], fixed: set[int
     blocks = blocks_of(runs)
     if content:
         # the slot of a block: its innermost template element; content slots only
-        chosen = [x for x in blocks if not x[1] and any(h in content for h in x[0] if h in elements)]
+        chosen = [x for x in blocks if not x[1] and any(h in content for h in takewhile(elements.__contains__, x[0]))]
     else:
         chosen = []
     if not chosen:
         chosen = [x for x in blocks if not x[1] and x[2]] or [x for x in blocks if not x[1]]
     free = [x for x in chosen if _run_token(x[0], x[3]) not in fixed]
-    return "\n\n".join(x[3] for x in (free or chosen))
+    if 2 * sum(len(x[3]) for x in free) <= sum(len(x[3]) for x in chosen):
+        free = chosen          # most of the content is fixed: near copies of one page
+    return "\n\n".join(x[3] for x in free)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page row: page_id, url, text.
 
     Null or empty html gives the empty text; a null or malformed url belongs to the host '' ; repeated pages count as
-    pages and are each returned; very long pages are read whole; broken markup is closed as browsers do.
+    pages, in every vector alike, and are each returned; very long pages are read whole; broken markup is closed as browsers do.
     """
     data = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         host_of(F.col(url_col).cast("string")).alias("host"),
