@@ -153,3 +153,12 @@ def ban_rows(df: DataFrame, text: str = "text", authors: str = "authors", keep_r
 def seen_keys(kept: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
     """Key tables registered by an existing kept corpus (input of the incremental form)."""
     return {k: kept.select(k).where(F.col(k).isNotNull()).distinct() for k in keys}
+
+
+def mark_seen(df: DataFrame, key: str, registered: DataFrame, registered_key: str, name: str = "seen") -> DataFrame:
+    """Adds ``name``, whether the row's key is among the registered ones; a null key never is.  The registered keys
+    are made distinct first, so the join adds no rows and a key of many rows is split on the side of ``df`` alone."""
+    keys = (registered.select(F.col(registered_key).alias("_seen_key")).where(F.col("_seen_key").isNotNull()).distinct()
+            .withColumn("_hit", F.lit(True)))
+    return (df.join(keys, df[key] == F.col("_seen_key"), "left")
+            .withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_seen_key", "_hit"))

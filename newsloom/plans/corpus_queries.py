@@ -305,38 +305,22 @@ def doc_dump_keys(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", path.alias("path")).select("doc_id", dump.alias("dump"), key.alias("out_key"))
 
 
-BLOOM_M, BLOOM_K = 1 << 12, 4
-
-
-def _bloom_pos_sql(key: str) -> str:
-    h1 = f"('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8))::BIGINT"
-    h2 = f"('0x' || substr(md5(CAST({key} AS VARCHAR)), 9, 8))::BIGINT"
-    return f"list_transform(range({BLOOM_K}), lambda i: ((({h1} + i * {h2}) % {BLOOM_M}) + {BLOOM_M}) % {BLOOM_M})"
-
-
 @register("doc_bloom_seen", f"""
-WITH kept AS (SELECT doc_id, k_start FROM {MERGE_SQL} WHERE priority <= {INC_OLD}),
-bits AS (SELECT DISTINCT unnest({_bloom_pos_sql('k_start')}) AS pos FROM kept),
-probe AS (SELECT DISTINCT substr(text, 1, {fixed.CONTENT_LENGTH}) AS k FROM documents),
-need AS (SELECT k, len(list_distinct({_bloom_pos_sql('k')})) AS n_need,
-                list_distinct({_bloom_pos_sql('k')}) AS ps FROM probe),
-hit AS (SELECT k, count(*) AS n_hit FROM (SELECT k, unnest(ps) AS pos FROM need) x SEMI JOIN bits USING (pos) GROUP BY k)
-SELECT d.doc_id, coalesce(h.n_hit, 0) = n.n_need AS maybe_seen,
-       d.doc_id IN (SELECT doc_id FROM kept) AS in_filter
-FROM documents d JOIN need n ON substr(d.text, 1, {fixed.CONTENT_LENGTH}) = n.k LEFT JOIN hit h ON n.k = h.k""")
+WITH kept AS (SELECT doc_id, k_start FROM {MERGE_SQL} WHERE priority <= {INC_OLD})
+SELECT doc_id, EXISTS (SELECT 1 FROM kept WHERE k_start = substr(text, 1, {fixed.CONTENT_LENGTH})) AS maybe_seen,
+       doc_id IN (SELECT doc_id FROM kept) AS in_filter
+FROM documents""")
 def doc_bloom_seen(spark: SparkSession, sf: str) -> DataFrame:
-    """A Bloom filter (4096 bits, 4 hashes) of the content keys kept from the newest sources,
-    probed with every document's content key; kept documents must all be "maybe seen"."""
-    from newsloom.operators import bloom as B
+    """Every document's content key looked up among the keys kept from the newest sources, by an exact join;
+    kept documents must all be seen."""
     raw = K.table(spark, sf, "documents")
     docs = M.with_priority(K.inject(raw), K.source_priority(raw), dump="source")
     docs = D.ban_rows(M.strip_boilerplate(M.fix_authors(docs, summary=None), domain=None))
     docs = docs.withColumns({"k_end": T.content_key("text", end=True), "k_start": T.content_key("text"),
                              "_order": D.order_column("priority", "doc_id")})
     first = D.greedy_dedupe(docs.where(F.col("priority") <= INC_OLD), ["k_end", "k_start"], "_order")
-    bits = B.build_filter(first, "k_start", BLOOM_M, BLOOM_K)
     probe = raw.select("doc_id", T.content_key("text").alias("k"))
-    seen = B.maybe_seen(probe, "k", bits, BLOOM_M, BLOOM_K)
+    seen = D.mark_seen(probe, "k", first, "k_start", "maybe_seen")
     kept_ids = first.select("doc_id").withColumn("in_filter", F.lit(True))
     return (seen.join(kept_ids, "doc_id", "left")
             .select("doc_id", "maybe_seen", F.coalesce(F.col("in_filter"), F.lit(False)).alias("in_filter")))

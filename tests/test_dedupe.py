@@ -84,14 +84,15 @@ def test_hot_key_third_of_rows(spark):
     assert run(spark, rows) == sequential(rows)
 
 
-def test_bloom_no_false_negatives(spark):
-    from newsloom.operators import bloom as B
-    members = spark.createDataFrame([(f"key{i}",) for i in range(200)], "k string")
-    bits = B.build_filter(members, "k", 1 << 14, 5)
-    probe = spark.createDataFrame([(f"key{i}",) for i in range(0, 400)], "k string")
-    out = {r["k"]: r["maybe_seen"] for r in B.maybe_seen(probe, "k", bits, 1 << 14, 5).collect()}
-    assert all(out[f"key{i}"] for i in range(200))
-    assert sum(out[f"key{i}"] for i in range(200, 400)) <= 5      # ~1e-5 expected false positives each
+def test_mark_seen_is_exact(spark):
+    """No wrong answer at any number of keys; nulls, repeated keys and a clashing column are defined cases."""
+    members = spark.createDataFrame([(f"key{i}", 1) for i in range(0, 6000, 2)] * 2 + [(None, 1)], "k string, seen int")
+    probe = spark.createDataFrame([(i, f"key{i}") for i in range(6000)] + [(6000 + i, "key4") for i in range(3000)] + [(9000, None)],
+                                  "id int, k string")
+    out = {r["id"]: r["seen"] for r in D.mark_seen(probe, "k", members, "k").collect()}
+    assert len(out) == 9001
+    assert all(out[i] == (i % 2 == 0) for i in range(6000)) and all(out[i] for i in range(6000, 9000)) and not out[9000]
+    assert not any(r["seen"] for r in D.mark_seen(probe, "k", members.limit(0), "k").collect())
 
 
 def test_long_chain_takes_logarithmic_steps(spark):
