@@ -1,8 +1,8 @@
 """Candidate-set operators over a long table ``(ctx, token, weight)``.
 
-A "context" is whatever the scores are conditioned on (a prefix, a user, a document position);
-its candidates are bounded by the vocabulary, so a window partitioned by context sorts at most
-one vocabulary's worth of rows per context, whatever the corpus size.
+A "context" is whatever the scores are conditioned on (a prefix, a user, a document position).
+A window partitioned by context sorts all its candidates in one task: at most one vocabulary's worth
+of rows for a fixed vocabulary, but a number that grows with the corpus where the tokens are open words.
 
 Weights may be unnormalised (e.g. counts): thresholds are scaled by the context total, which keeps
 integer weights exact (no floating running sums compared against ``p``).
