@@ -35,3 +35,42 @@ def test_classifier_separates(spark):
     out = MD.classify(model, df)
     pred = out.select(F.when(F.col("machine") >= F.col("human"), "machine").otherwise("human").alias("p"), "label")
     assert pred.where(F.col("p") != F.col("label")).count() == 0
+
+
+def _draws_of_candidates(prompts, counts, top_p, steps, eos):
+    """The definition: each step every prompt's rows joined with their candidates, one draw per prompt."""
+    from newsloom.functions import rand                            # noqa: F401
+    from newsloom.operators import sampling as SM
+    kept = SM.top_p(counts, ["prev"], "token", "n", top_p).select("prev", "token", "n").localCheckpoint()
+    contexts = {r["prev"] for r in kept.collect()}
+    live, out = prompts.withColumnRenamed("last", "prev"), {}
+    for step in range(steps):
+        cand = live.withColumn("prev", F.when(F.col("prev").isin(list(contexts)), F.col("prev")).otherwise(MD.BOS)).join(kept, "prev")
+        rows = SM.draw(cand, ["pid"], "token", "n", 0, salt=f"gen{step}").select("pid", "token").collect()
+        for r in rows:
+            out.setdefault(r["pid"], []).append(r["token"])
+        rows = [tuple(r) for r in rows if r["token"] != eos]
+        if not rows:
+            break
+        live = prompts.sparkSession.createDataFrame(rows, "pid string, prev string")
+    return out
+
+
+def test_generate_draws_as_defined(spark, monkeypatch):
+    rows = [(MD.BOS, f"w{k}", 1 + k % 7) for k in range(900)] + [(f"w{k}", f"w{(k * 7 + j) % 1100}", 1 + j) for k in range(0, 900, 2) for j in range(5)]
+    rows += [("a", f"w{k}", 3) for k in range(600)] + [("b", "w2", 50), ("b", "w4", 50), ("b", "END", 20)]
+    counts = spark.createDataFrame(rows, "prev string, token string, n long").localCheckpoint()
+    pairs = [(f"p{k}", ["a", "b", "none", "w2"][k % 4]) for k in range(60)]
+    pairs += pairs[:9] + pairs[:3] + [("mix", "a"), ("mix", "b"), ("mix", "b"), ("mix", "none"), (None, "a"), (None, None), ("two unknown", "x"), ("two unknown", "y")]
+    prompts = spark.createDataFrame(pairs, "pid string, last string")
+    want = _draws_of_candidates(prompts, counts, 0.95, 5, "END")
+    multiplied = []
+    real = MD.SM.draw
+    monkeypatch.setattr(MD.SM, "draw", lambda cand, *a, **k: (multiplied.append(cand.groupBy("pid").count().collect()), real(cand, *a, **k))[1])
+    got = {r["pid"]: r["generated"] for r in MD.generate(prompts, counts, "pid", "last", eos="END", max_steps=5).collect()}
+    assert got == want and None in got
+    # only prompts with rows in several contexts get a row per candidate, and only once
+    assert [{r["pid"] for r in rows} for rows in multiplied] == [{"mix", None}]
+    monkeypatch.undo()
+    assert {r["pid"]: r["generated"] for r in MD.generate(prompts, counts, "pid", "last", eos="END", max_steps=3, checkpoint_every=2).collect()} == \
+        {k: v[:3] for k, v in want.items()}
