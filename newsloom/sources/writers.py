@@ -15,9 +15,9 @@ def write_articles(df: DataFrame, path: str, partition_by: list[str] | None = No
 
 
 def write_sequences(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """K3: sequences sharded by split and fold; each (split, fold) is written by the tasks that
-    hold it after one hash exchange on those two columns."""
-    (df.repartition("split", "fold").write.mode(mode).partitionBy("split", "fold").parquet(path))
+    """K3: sequences sharded by split and fold after one exchange on those two columns, which adaptive execution
+    splits where a (split, fold) is large: a task sorts and writes about one advisory partition size."""
+    (df.hint("rebalance", "split", "fold").write.mode(mode).partitionBy("split", "fold").parquet(path))
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists", downcast: dict[str, str] | None = None) -> None:

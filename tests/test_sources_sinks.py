@@ -119,3 +119,21 @@ def test_read_dumps_order(spark):
                            ["url", "ck"], "o")
     got = sorted((r["dump"], r["url"]) for r in kept.collect())
     assert got == [("new", "u1"), ("old", "u2")]          # newest dump wins u1
+
+
+def test_large_shard_is_written_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from newsloom.sources.writers import write_sequences
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, "64MB")
+    spark.conf.set(key, "64KB")
+    try:
+        ids = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda x: F.xxhash64("id", x))
+        df = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") < 3900, "train").otherwise("val").alias("split"),
+                                               F.lit(0).alias("fold"), ids.alias("input_ids"))
+        write_sequences(df, str(tmp_path / "s"))
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "s/split=train/fold=0").glob("*.parquet"))) > 3
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(r["id"] for r in back.select("id").collect()) == list(range(4000)) and back.where("split = 'train'").count() == 3900
