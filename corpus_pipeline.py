@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 checkpoint folder and reads it again as the next stage's documents.  All stages but the last return the columns
 of documents.
 
-Every stage that drops documents first writes them with a row key, and each row gets a decision of its own by that key.
+Every stage that drops documents gives them a row key, and each row gets a decision of its own by that key: the place in
+its Parquet file, which every read gives again, or a key written with the documents if they are not a plain Parquet table.
 Defined cases: null and empty texts fail the quality rules; of rows that repeat a doc_id, or have none, each is decided by
 its own text, and of equal or similar ones a single row stays; an empty table passes every stage; extra columns are
 carried along.
@@ -12,6 +13,8 @@ carried along.
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +23,31 @@ from newsloom.llm.common import cut_lineage, drop_tables, table, table_scope
 
 
 ROW = "_pipeline_row"
+FILE_ROWS = 1 << 40         # row keys a file has
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The documents with the row key, written, so that every later read sees the same keys."""
-    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    """The documents with a row key that every later read sees again: no copy of a Parquet table, else written."""
+    placed = _placed(docs)
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id())) if placed is None else placed
+
+
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """The rows of a Parquet table keyed by file and place in it; None for other rows, as those of a join, or of a file read
+    twice."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return None
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:       # not Parquet
+        return None
+    # one row a file: its name, of which the scan holds a list too
+    files = sorted(map(tuple, rows.groupBy("_path").agg(F.count("*"), F.max("_place")).collect()))
+    if any(n != last + 1 for _, n, last in files):
+        return None
+    numbers = docs.sparkSession.createDataFrame(pa.table({"_path": pa.array([f for f, _, _ in files], pa.string()),
+                                                          "_file": pa.array(range(len(files)), pa.int64())}))
+    return rows.join(F.broadcast(numbers), "_path").select(*docs.columns, (F.col("_file") * FILE_ROWS + F.col("_place")).alias(ROW))
 
 
 def _only(keyed: DataFrame, rows: DataFrame) -> DataFrame:

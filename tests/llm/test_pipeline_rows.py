@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from newsloom.llm import decontaminate, quality_classifier
+from newsloom.session import table_scope
 from tests.conftest import SF_SMALL
 
 
@@ -53,3 +54,18 @@ def test_contaminated_rows_go_whatever_their_id(spark):
     clean = _text(2)
     assert _left(spark, P.decontamination, [(None, clean), (None, clean + " " + item), (7, clean), (7, item), (8, item)]) == Counter(
         [(None, clean), (7, clean)])
+
+
+def test_row_keys_write_no_copy_of_a_parquet_table(spark, tmp_path):
+    spark.range(300).selectExpr("id as doc_id", "repeat(cast(id as string), 9) as text").repartition(3).write.parquet(f"{tmp_path}/a b")
+    with table_scope() as written:
+        docs = spark.read.parquet(f"{tmp_path}/a b")
+        one, two = (P._keyed(docs).select("doc_id", P.ROW) for _ in range(2))
+        assert not written
+        keys = {r.doc_id: r[P.ROW] for r in one.collect()}
+        assert keys == {r.doc_id: r[P.ROW] for r in two.where("doc_id >= 0").repartition(2).collect()}
+        assert len(set(keys.values())) == len(keys) == 300
+        # rows that share a place in a file, or are not from one, get a written key
+        for several in (spark.read.parquet(f"{tmp_path}/a b", f"{tmp_path}/a b"), docs.crossJoin(spark.range(2).select("id")), spark.range(600)):
+            assert P._keyed(several).select(P.ROW).distinct().count() == 600
+        assert len(written) == 3
