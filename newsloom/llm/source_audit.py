@@ -1,10 +1,10 @@
 """How far the word use of a language's sources lies apart, in exact integers.
 
-1. the words of every document are written once, in one folder per language;
+1. the words of every document are written once, between spaces, in one folder per language;
 2. per language, ``CountVectorizer`` with ``minDF`` and the largest integer as ``vocabSize`` fits the vocabulary (every
-   word of at least MIN_DOCS documents, none left out) and gives the exact sparse vector of each document;
-3. the vectors are summed by group, sparse, in the tasks that make them and then by a shuffle: a source holding a third
-   of the rows sends few rows a word and task.  The sums are written;
+   word of at least MIN_DOCS documents, none left out);
+3. the vocabulary's words are counted by group, sparse, in the tasks that read them and then by a shuffle of blocks of
+   the vocabulary: a source holding a third of the rows sends few rows a task.  The sums are written;
 4. a probability depends on the group and the count alone.  With f00 the term of two words that neither source has,
    a pair of sources sums to
 
@@ -20,12 +20,13 @@ as ``CountVectorizer`` does it; nothing else grows there.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import batch, checkpoint_dir, cut_lineage, map_arrow, pylist, slices, table
@@ -34,11 +35,13 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 ROWS = 512           # texts that are split together, if they have fewer than MOST bytes
+COUNTED = 4096       # texts whose words are counted together, likewise
 MOST = 1 << 28
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # bytes table: A-Z lower-cased, ASCII characters other than letters become a space
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 HELD = 2_000_000     # distinct elements of group sums a task holds before it sends them
+BLOCKS = 64          # parts of a vocabulary whose sums travel together
 
 
 def word_lists(texts: pa.Array) -> pa.ListArray:
@@ -76,62 +79,143 @@ def word_sums(docs: DataFrame, lang_col: str = "lang", source_col: str = "source
         return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
     # the folder is a hash of the language: any string may be one, the empty one too
-    kind = pa.schema([("folder", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("words", pa.list_(pa.string()))])
+    kind = pa.schema([("folder", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("words", pa.string())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (c for b in slices(batches, ROWS) for c in slices(iter([b]), ROWS if b.nbytes < MOST else 1)):
-            yield batch(kind, {f.name: b.column(k) for k, f in enumerate(kind)} | {"words": word_lists(b.column(3))})
+        for b in parts(batches):
+            yield batch(kind, {f.name: b.column(k) for k, f in enumerate(kind)} | {"words": list(map(spaced, b.column(3).to_pylist()))})
 
     read = docs.select(F.sha2(text(lang_col), 256).alias("folder"), text(lang_col).alias("lang"), text(source_col).alias("source"),
                        text(text_col).cast("binary").alias("words"))
-    map_arrow(read, split, "folder string, lang string, source string, words array<string>").write.partitionBy("folder").parquet(f"{base}/words")
-    held = spark.read.schema("lang string, source string, words array<string>, folder string").parquet(f"{base}/words")
-    counter = CountVectorizer(inputCol="words", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1)
+    map_arrow(read, split, "folder string, lang string, source string, words string").write.partitionBy("folder").parquet(f"{base}/words")
+    held = spark.read.schema("lang string, source string, words string, folder string").parquet(f"{base}/words")
+    counter = CountVectorizer(inputCol="list", outputCol="vector", minDF=float(min_docs), vocabSize=2**31 - 1)
+    words = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(F.split("words", " "))
     for row in held.select("folder", "lang").distinct().collect():          # one row a language
         own = held.where(F.col("folder") == row["folder"])
-        model = counter.fit(own)
-        group_sums(model.transform(own).select("lang", "source", "vector")).write.mode("append").parquet(f"{base}/sums")
-        terms = spark.createDataFrame([(row["lang"], list(model.vocabulary))], "lang string, words array<string>")
+        vocabulary = list(counter.fit(own.select(words.alias("list"))).vocabulary)
+        counts = group_sums(own.select("lang", "source", F.col("words").cast("binary").alias("words")), word_elements(spark, vocabulary))
+        counts.write.mode("append").parquet(f"{base}/sums")
+        terms = spark.createDataFrame([(row["lang"], vocabulary)], "lang string, words array<string>")
         terms.select("lang", F.posexplode("words").alias("idx", "word")).write.mode("append").parquet(f"{base}/terms")
     return (held.select("lang", "source").distinct(), spark.read.schema("lang string, source string, idx int, n long").parquet(f"{base}/sums"),
             spark.read.schema("lang string, idx int, word string").parquet(f"{base}/terms"))
 
 
-def group_sums(vectors: DataFrame) -> DataFrame:
-    """(lang, source, idx, n) from (lang, source, sparse vector): the sum of each group, one row for every element that isn't zero.
+def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` texts, long texts alone."""
+    return (c for b in slices(batches, rows) for c in slices(iter([b]), rows if b.nbytes < MOST else 1))
 
-    A task adds its vectors up, sparse, and sends sums whenever it holds HELD elements; the rest of the sum is a shuffle."""
-    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("idx", pa.int64()), ("n", pa.int64())])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[tuple[str, str], int] = {}
+def spaced(data: bytes | None) -> str:
+    """The words of a UTF-8 text, as in ``word_lists``, with one space between them."""
+    return b" ".join((data or b"").translate(LETTERS).split()).decode("utf-8", "replace")
+
+
+# rows -> the group (lang, source, block) of each row or part of rows, its number of elements, and the elements (idx, n)
+Elements = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]]
+
+
+def vector_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Elements of the sparse vectors in column ``vector``."""
+    for b in batches:
+        _, _, lists, values = b.column(b.schema.get_field_index("vector")).flatten()      # type, size, indices, values
+        yield (list(zip(pylist(b, "lang"), pylist(b, "source"))), np.asarray(lists.value_lengths()), np.asarray(lists.flatten()),
+               np.asarray(values.flatten()))
+
+
+def word_elements(spark: SparkSession, vocabulary: list[str]) -> Elements:
+    """Counts of the vocabulary's words in the texts of ``spaced`` (column ``words``, as bytes), those of a group at once."""
+    held = spark.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+        place = {w.encode(): k for k, w in enumerate(held.value)}
+        for b in parts(batches, COUNTED):
+            texts: dict[tuple, list[bytes]] = {}
+            for *group, data in zip(pylist(b, "lang"), pylist(b, "source"), pylist(b, "words")):
+                texts.setdefault(tuple(group), []).append(data)
+            sizes, idx, n = [], [], []
+            for own in texts.values():
+                found = Counter(b" ".join(own).split(b" "))
+                at = np.fromiter((place.get(w, -1) for w in found), np.int64, len(found))
+                idx.append(at[at >= 0])
+                n.append(np.fromiter(found.values(), np.int64, len(found))[at >= 0])
+                sizes.append(len(idx[-1]))
+            if texts:
+                yield list(texts), np.array(sizes), np.concatenate(idx), np.concatenate(n)
+
+    return run
+
+
+def block_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """Elements that ``group_sums`` has sent, in columns ``idx`` and ``n``."""
+    for b in batches:
+        idx, n = (b.column(b.schema.get_field_index(c)) for c in ("idx", "n"))
+        yield (list(zip(pylist(b, "lang"), pylist(b, "source"), pylist(b, "block"))), np.asarray(idx.value_lengths()), np.asarray(idx.flatten()),
+               np.asarray(n.flatten()))
+
+
+def group_sums(rows: DataFrame, elements: Elements = vector_elements) -> DataFrame:
+    """(lang, source, idx, n) from (lang, source, and what ``elements`` reads, sparse vectors by default): the sum of each
+    group, one row for every element that isn't zero.
+
+    A task adds its elements up, sparse, and sends sums whenever it holds HELD of them, a row for each group and block of
+    the elements; a block's rows are added up where a shuffle has put them, sorted, so that done blocks can be let go."""
+    sent = pa.schema([("lang", pa.string()), ("source", pa.string()), ("block", pa.int32()), ("idx", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+    kind = pa.schema([("lang", pa.string()), ("source", pa.string()), ("idx", pa.int32()), ("n", pa.int64())])
+
+    def added(batches, read: Elements, left: Callable) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+        """(groups, place in them, idx, sum) by place; ``left``: the first place that must stay, if sums are sent before the end."""
+        names: dict[tuple, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            sums = np.zeros(len(keys), np.int64)
-            np.add.at(sums, at, np.concatenate([n for _, n in held]))
-            return keys, sums
-
-        def sent(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-            group = np.array(list(names), object)[keys >> 32] if len(keys) else np.zeros((0, 2), object)
-            return batch(kind, {"lang": group[:, 0], "source": group[:, 1], "idx": keys & 0xFFFFFFFF, "n": sums})
-
-        for b in batches:
-            group = np.array([names.setdefault(g, len(names)) for g in zip(pylist(b, "lang"), pylist(b, "source"))], np.int64)
-            _, _, lists, values = b.column(b.schema.get_field_index("vector")).flatten()      # type, size, indices, values
-            idx, n = np.asarray(lists.flatten()), np.asarray(values.flatten())
-            held.append((np.repeat(group, np.asarray(lists.value_lengths())) << 32 | idx.astype(np.int64), n.astype(np.int64)))
+            keys, n = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
+            return keys[first], np.add.reduceat(n[order], first) if len(keys) else n
+
+        def sums(keys: np.ndarray, n: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+            return list(names), keys >> 32, keys & 0xFFFFFFFF, n
+
+        for groups, lengths, idx, n in read(batches):
+            group = np.array([names.setdefault(g, len(names)) for g in groups], np.int64)
+            held.append((np.repeat(group, lengths) << 32 | idx.astype(np.int64), n.astype(np.int64)))
             if sum(len(k) for k, _ in held) > HELD:
                 held = [merge()]
-                if len(held[0][0]) > HELD // 2:
-                    yield sent(*held[0])
-                    held, names = [], {}
+                keys, n = held[0]
+                if len(keys) > HELD // 2:
+                    end = np.searchsorted(keys, left(len(names)) << 32)
+                    if end:
+                        yield sums(keys[:end], n[:end])
+                    held = [(keys[end:], n[end:])]
         if held:
-            yield sent(*merge())
-
-    return (map_arrow(vectors, add, "lang string, source string, idx long, n long")
-            .groupBy("lang", "source", F.col("idx").cast("int").alias("idx")).agg(F.sum("n").alias("n")))
+            yield sums(*merge())
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, group, idx, n in added(batches, elements, lambda groups: groups):
+            ends = np.searchsorted(group, np.arange(len(groups) + 1))
+            for (lang, source), lo, hi in zip(groups, ends, ends[1:]):
+                order = lo + np.argsort(idx[lo:hi] % BLOCKS, kind="stable")
+                cuts = np.searchsorted(idx[order] % BLOCKS, np.arange(BLOCKS + 1))
+                some = np.flatnonzero(np.diff(cuts))
+                edges = pa.array([*cuts[some], hi - lo], pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, pa.array(x[order], t)) for x, t in ((idx, pa.int32()), (n, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array([source] * len(some), pa.string()),
+                                                  pa.array(some, pa.int32()), *lists], schema=sent)
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups, group, idx, n in added(batches, block_elements, lambda groups: groups - 1):
+            lang, source = (pa.array([g[k] for g in groups], pa.string()) for k in (0, 1))
+            for k in range(0, len(idx), 10_000):
+                own = slice(k, k + 10_000)
+                at = pa.array(group[own])
+                yield batch(kind, {"lang": lang.take(at), "source": source.take(at), "idx": idx[own], "n": n[own]})
+
+    dealt = (map_arrow(rows, send, "lang string, source string, block int, idx array<int>, n array<long>")
+             .repartition("lang", "source", "block").sortWithinPartitions("lang", "source", "block"))
+    return map_arrow(dealt, receive, "lang string, source string, idx int, n long")
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
@@ -144,7 +228,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     table gives no rows; a language without kept words gives pairs of value 0.
     """
     spark = docs.sparkSession
-    if docs.isEmpty():
+    if not docs.select(F.lit(1)).take(1):
         return spark.createDataFrame([], "lang string, source string, part string, item string, value long, rank int")
     named, sums, terms = word_sums(docs, lang_col, source_col, text_col, min_docs)
     sizes = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))

@@ -89,6 +89,22 @@ def test_group_sums_sent_in_parts(spark, monkeypatch):
     assert {tuple(r)[:3]: r["n"] for r in source_audit.group_sums(vectors).collect()} == want
 
 
+def test_words_of_a_group_are_counted_and_sent_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(source_audit, "HELD", 3)
+    monkeypatch.setattr(source_audit, "BLOCKS", 2)
+    texts = ["A b,c  b", "", "zz a", "É a\x00b", "c" * 300, None]
+    rows = [("l" if k % 3 else "", f"s{k % 4}", source_audit.spaced(texts[k % 6] and texts[k % 6].encode())) for k in range(60)]
+    assert source_audit.spaced("A b,c  b\x00É".encode()) == "a b c b É"
+    vocabulary = ["b", "a", "É", "never", "c" * 300]
+    docs = spark.createDataFrame(rows, "lang string, source string, words string").selectExpr("lang", "source", "cast(words AS binary) AS words")
+    want = Counter((la, s, vocabulary.index(w)) for la, s, t in rows for w in t.split() if w in vocabulary)
+    got = source_audit.group_sums(docs.repartition(5), source_audit.word_elements(spark, vocabulary))
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and {r[:3]: r[3] for r in found} == want
+    # the shuffle has a row a task, group and block: no row for each element
+    assert "hashpartitioning(lang#" in (plan := got._jdf.queryExecution().toString()) and "block#" in plan and "HashAggregate" not in plan
+
+
 def test_alignment_of_invalid_bytes_and_no_rows(spark):
     docs = spark.sql("SELECT 1L AS doc_id, cast(X'61FF62' AS string) AS text")
     assert [tuple(r)[1:] for r in align_tokenizers.align(docs, A, B).collect()] == [(0, 0, 0, 0, 0, 0, "")]
