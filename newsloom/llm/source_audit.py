@@ -19,6 +19,7 @@ as ``CountVectorizer`` does it; nothing else grows there.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -40,6 +41,7 @@ MOST = 1 << 28
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # bytes table: A-Z lower-cased, ASCII characters other than letters become a space
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+SURROGATE = re.compile(rb"\xed[\xa0-\xbf][\x80-\xbf]?")     # Java replaces it as a whole, Python byte by byte
 HELD = 2_000_000     # distinct elements of group sums a task holds before it sends them
 BLOCKS = 64          # parts of a vocabulary whose sums travel together
 
@@ -108,8 +110,12 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
 
 
 def spaced(data: bytes | None) -> str:
-    """The words of a UTF-8 text, as in ``word_lists``, with one space between them."""
-    return b" ".join((data or b"").translate(LETTERS).split()).decode("utf-8", "replace")
+    """The words of a UTF-8 text, as in ``word_lists``, with one space between them; invalid bytes are replaced as Java does."""
+    words = b" ".join((data or b"").translate(LETTERS).split())
+    try:
+        return words.decode()
+    except UnicodeDecodeError:
+        return SURROGATE.sub(b"\xff", words).decode("utf-8", "replace")
 
 
 # rows -> the group (lang, source, block) of each row or part of rows, its number of elements, and the elements (idx, n)
